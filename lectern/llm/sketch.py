@@ -93,21 +93,23 @@ def edit_study(docs: DataFrame) -> DataFrame:
     and the one with the least text hash stands for the id where it is next. Null texts are
     empty. Only the part of a text that its neighbour takes, and its sketch, go to it.
     """
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    ids = texts.groupBy("doc_id").agg(F.max(F.floor(F.length("text") / 3)).alias("need"))
-    order = neighbours(ids)
+    kind = docs.schema["doc_id"].dataType
+    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))  # noqa: E731  never null, so that joins and windows share a partitioning
+    texts = docs.select(key("doc_id").alias("k"), F.coalesce("text", F.lit("")).alias("text"))
+    ids = docs.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n")).groupBy("doc_id").agg(F.max(F.floor(F.col("n") / 3)).alias("need"))
+    order = neighbours(ids).select(key("doc_id").alias("_k"), key("before_id").alias("to"), "before_need")
     own = with_sketch(texts, "text", "sketch")
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    first = Window.partitionBy("k").orderBy(F.xxhash64("text"))
     sent = (
-        own.join(order.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")))
+        own.join(order, F.col("k") == F.col("_k"))
         .withColumn("_n", F.row_number().over(first))
         .where("_n = 1")
-        .select("before_id", F.expr("substring(text, 1, int(before_need))").alias("head"), F.col("sketch").alias("next_sketch"))
+        .select("to", F.expr("substring(text, 1, int(before_need))").alias("head"), F.col("sketch").alias("next_sketch"))
     )
     n = F.length("text")
     cut_at = n - F.floor(n / 3)
-    edited = own.join(sent, F.col("doc_id").eqNullSafe(F.col("before_id"))).select(
-        "doc_id",
+    edited = own.join(sent, F.col("k") == F.col("to")).select(
+        F.when(F.col("k") != "", F.col("k").try_cast(kind)).alias("doc_id"),
         n.cast("long").alias("n_chars"),
         F.concat(F.substring("text", F.lit(1), cut_at.cast("int")), F.substring("head", F.lit(1), (n - cut_at).cast("int"))).alias("edited"),
         "sketch",
