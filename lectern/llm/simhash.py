@@ -18,29 +18,37 @@ BITS = 64
 AT_ONCE = 1 << 16
 
 
-def fingerprint_of(text: str | None, width: int) -> int:
-    """64-bit SimHash of the shingles of ``width`` words, repeats counted.
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """XXH64 of every shingle of ``width`` words, repeats included.
 
     A-Z is lower-cased and words end at ASCII white space. A text of fewer words is one
-    shingle, and one without words (or null) has fingerprint 0.
+    shingle; one without words (or null) has none.
     """
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
-    digest = xxhash.xxh64_intdigest
+        return np.zeros(0, np.uint64)
+    digest, joined = xxhash.xxh64_intdigest, b" ".join(words)
     if len(words) <= width:
-        return digest(b" ".join(words), 42)
-    joined, total, ones = b" ".join(words), len(words) - width + 1, np.zeros(BITS, np.int64)
+        return np.array([digest(joined, 42)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    total = len(words) - width + 1
     starts = np.concatenate(([0], ends[: total - 1])).tolist()
     stops = (ends[width - 1 :] - 1).tolist()
-    for at in range(0, total, AT_ONCE):
-        hashes = np.fromiter(
-            (digest(joined[s:e], 42) for s, e in zip(starts[at : at + AT_ONCE], stops[at : at + AT_ONCE])), np.uint64
-        )
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > total, bitorder="little").view("<u8")[0])
+    return np.fromiter((digest(joined[s:e], 42) for s, e in zip(starts, stops)), np.uint64, total)
+
+
+def simhash_of(hashes: np.ndarray) -> int:
+    """A bit is 1 if it is set in over half of the hashes; 0 for none."""
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), AT_ONCE):
+        part = np.ascontiguousarray(hashes[at : at + AT_ONCE])
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def fingerprint_of(text: str | None, width: int) -> int:
+    """64-bit SimHash of the shingles of ``width`` words, repeats counted."""
+    return simhash_of(shingle_hashes(text, width))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
@@ -110,9 +118,98 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return prints.join(named, F.col("fp") == F.col("_fp")).select("id", "fp", "component")
 
 
-def keep_one(docs: DataFrame, width: int = 5, distance: int = 2) -> DataFrame:
-    """docs without the documents whose group has a smaller doc_id; all columns stay."""
-    groups = simhash_groups(docs, width=width, distance=distance)
+#: Consistent samples of a text's shingles that get a SimHash of their own, and the shingles of a sample.
+SAMPLES, SAMPLE_SIZE = 16, 4
+#: Least shingle hashes that are kept for the similarity of two texts: exact up to so many distinct shingles.
+KEPT = 512
+_TURNS = np.array([int.from_bytes(xxhash.xxh64_digest(b"sample", i), "little") | 1 for i in range(SAMPLES)], np.uint64)
+
+
+def sample_prints(distinct: np.ndarray) -> np.ndarray:
+    """SimHash of each sample: the SAMPLE_SIZE least of the distinct hashes under each of SAMPLES multipliers."""
+    if not len(distinct):
+        return np.zeros(0, np.uint64)
+    least = np.full((SAMPLES, SAMPLE_SIZE), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(distinct), AT_ONCE // SAMPLES):
+        turned = distinct[None, at : at + AT_ONCE // SAMPLES] * _TURNS[:, None]
+        every = np.concatenate((least, turned), axis=1)
+        least = np.partition(every, SAMPLE_SIZE - 1, axis=1)[:, :SAMPLE_SIZE]
+    own = np.minimum(SAMPLE_SIZE, len(distinct))
+    least = np.sort(least, axis=1)[:, :own]
+    bits = np.unpackbits(np.ascontiguousarray(least).view(np.uint8).reshape(SAMPLES, own, 8), axis=2, bitorder="little")
+    found = np.packbits(2 * bits.sum(axis=1) > own, axis=1, bitorder="little").view("<u8").ravel()
+    return found ^ (np.arange(SAMPLES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def signatures(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(id, words: hash of all words, fp, samples array<long>, least array<int>) for each row of docs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole, fps, samples, least = [], [], [], []
+            for value in batch.column(1):
+                text = value.as_py()
+                hashes = shingle_hashes(text, width)
+                distinct = np.unique(hashes)
+                whole.append(xxhash.xxh64_intdigest(b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split()), 7))
+                fps.append(simhash_of(hashes))
+                samples.append(sample_prints(distinct).view(np.int64))
+                mixed = (distinct * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)
+                least.append(np.sort(mixed)[:KEPT].astype(np.uint32).view(np.int32))
+            longs = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+            lists = lambda x, t: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, t), *x])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), longs(whole), longs(fps), lists(samples, np.int64), lists(least, np.int32)], names=["id", "words", "fp", "samples", "least"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return texts.mapInArrow(run, f"id {kind}, words long, fp long, samples array<long>, least array<int>")
+
+
+def likeness(a: Column, b: Column) -> Column:
+    """Jaccard similarity of two texts from their least hashes: exact if both have at most KEPT distinct shingles."""
+    either = F.slice(F.sort_array(F.array_union(a, b)), 1, KEPT)
+    return F.when(F.size(either) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(either, F.array_intersect(a, b))) / F.size(either))
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs -> (id, component): the least id of its group of copies and near copies, itself included.
+
+    Texts of the same words are copies. Two texts are candidates if their fingerprints lie
+    within 2 bits (ball hashing), or if a sample of theirs has the same SimHash; balls alone
+    find only texts that are almost equal, as a similarity of 0.8 comes to some 10 bits. In
+    each bucket every text meets the one of the least id, so that the pairs grow with the
+    rows; a pair links if its similarity is ``similarity`` or more. Null and empty texts are
+    copies of each other; repeated rows and null ids are as in simhash_groups().
+    """
+    rows = cut(signatures(docs, id_col, text_col, width))
+    of_sample = rows.select("id", "words", F.explode("samples").alias("key"))
+    head = F.min(F.struct("id", "words"))
+    heads = of_sample.groupBy("key").agg(head.alias("head"), F.min("words").alias("x"), F.max("words").alias("y")).where("x != y").select(F.col("key").alias("_key"), F.col("head.words").alias("head"))
+    pairs = of_sample.select("words", "key").distinct().join(heads, F.col("key") == F.col("_key")).select("words", "head")
+    of_print = rows.groupBy("fp").agg(head["words"].alias("head"))
+    pairs = pairs.union(rows.select("words", "fp").distinct().join(of_print.withColumnRenamed("fp", "_fp"), F.col("fp") == F.col("_fp")).select("words", "head"))
+    balls = fingerprint_links(of_print.select("fp"), 2)
+    named = balls.join(of_print.select(F.col("fp").alias("a"), F.col("head").alias("words")), "a").join(of_print.select(F.col("fp").alias("b"), F.col("head")), "b")
+    pairs = cut(pairs.union(named.select("words", "head")).where("words != head").distinct())
+    asked = pairs.select("words").union(pairs.select(F.col("head").alias("words"))).distinct()
+    least = rows.select("words", "least").join(asked, "words", "left_semi").groupBy("words").agg(F.first("least").alias("least"))
+    one = pairs.join(least, "words").withColumnRenamed("least", "_a")
+    both = one.join(least.select(F.col("words").alias("head"), F.col("least").alias("_b")), "head")
+    links = both.where(likeness(F.col("_a"), F.col("_b")) >= similarity).select(F.col("words").alias("a"), F.col("head").alias("b"))
+    roots = cut(components(links))
+    first = rows.groupBy("words").agg(F.min("id").alias("least"))
+    held = first.join(roots, F.col("words") == F.col("node"), "left").select("words", "least", F.coalesce("root", "words").alias("root"))
+    of_root = held.groupBy("root").agg(F.min("least").alias("component"))
+    group = held.join(of_root, "root").select(F.col("words").alias("_words"), "component")
+    return rows.select("id", "words").join(group, F.col("words") == F.col("_words")).select("id", "component")
+
+
+def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs without the documents whose group has a smaller doc_id; all columns stay.
+
+    Rows that repeat the least doc_id of a group are one document and stay together.
+    """
+    groups = similar_groups(docs, width=width, similarity=similarity)
     stay = groups.where("id <=> component").select(F.col("id").alias("_id")).distinct()
     return docs.join(stay, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
 
