@@ -10,7 +10,7 @@ from .common import table
 #: Words of a shingle.
 WIDTH = 5
 #: One hash in 2 ** SCALE_BITS is retained.
-SCALE_BITS = 3
+SCALE_BITS = 2
 #: At most so many ranges of ids are ordered on their own.
 RANGES = 256
 
@@ -98,24 +98,25 @@ def edit_study(docs: DataFrame) -> DataFrame:
     texts = docs.select(key("doc_id").alias("k"), F.coalesce("text", F.lit("")).alias("text"))
     ids = docs.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n")).groupBy("doc_id").agg(F.max(F.floor(F.col("n") / 3)).alias("need"))
     order = neighbours(ids).select(key("doc_id").alias("_k"), key("before_id").alias("to"), "before_need")
-    own = with_sketch(texts, "text", "sketch")
+    # Sketches are made again after the shuffle: hashing is cheaper than moving what it gives.
     first = Window.partitionBy("k").orderBy(F.xxhash64("text"))
     sent = (
-        own.join(order, F.col("k") == F.col("_k"))
+        texts.join(order, F.col("k") == F.col("_k"))
         .withColumn("_n", F.row_number().over(first))
         .where("_n = 1")
-        .select("to", F.expr("substring(text, 1, int(before_need))").alias("head"), F.col("sketch").alias("next_sketch"))
+        .select("to", F.expr("substring(text, 1, int(before_need))").alias("head"), "text")
     )
+    sent = with_sketch(sent, "text", "next_sketch").drop("text")
     n = F.length("text")
     cut_at = n - F.floor(n / 3)
-    edited = own.join(sent, F.col("k") == F.col("to")).select(
+    edited = texts.join(sent, F.col("k") == F.col("to")).select(
         F.when(F.col("k") != "", F.col("k").try_cast(kind)).alias("doc_id"),
         n.cast("long").alias("n_chars"),
         F.concat(F.substring("text", F.lit(1), cut_at.cast("int")), F.substring("head", F.lit(1), (n - cut_at).cast("int"))).alias("edited"),
-        "sketch",
+        "text",
         "next_sketch",
     )
-    return with_sketch(edited, "edited", "edited_sketch")
+    return with_sketch(with_sketch(edited, "text", "sketch").drop("text"), "edited", "edited_sketch")
 
 
 def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
