@@ -9,6 +9,7 @@ from shorter prefixes, whatever follows, and words that share it share its state
 
 from __future__ import annotations
 
+import codecs
 import os
 import re
 from array import array
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 MARK = "▁"
+codecs.register_error("each-byte", lambda e: ("\ufffd", e.start + 1))  # the library replaces each wrong byte
 #: Characters of text whose distinct words make one trie (a longer text goes alone).
 TRIE_CHARS = 4 << 20
 #: Words and pairs that a worker remembers; beyond that it starts anew.
@@ -163,7 +165,7 @@ class Pieces:
                     raw.append(self.of_byte[i])
                     continue
                 if raw:
-                    out.append(raw.decode("utf-8", "replace"))
+                    out.append(raw.decode("utf-8", "each-byte"))
                     raw.clear()
                 out.append(self.shown[i] if i >= 0 else "")
             text = "".join(out)

@@ -88,11 +88,11 @@ _E = r"[\])}>]"
 _AT = rf"\s*{_B}\s*(?:at|@|arroba|chez)\s*{_E}\s*|\s+at\s+|\s+AT\s+"
 _DOT = rf"\s*{_B}\s*(?:dot|punto|punkt|point|\.)\s*{_E}\s*|\s+dot\s+|\s+DOT\s+"
 _NAME = r"[A-Za-z0-9_%+-]++"
-#: name AT name DOT name, with at least one of the marks in disguise.
+#: A chain of names and dots, as long as it goes, and what makes an address of it: an at and a domain.
 _DISGUISED = re.compile(
-    rf"(?<![A-Za-z0-9._%+-]){_NAME}(?:(?:\.|{_DOT}){_NAME})*?(?P<at>@|{_AT})[A-Za-z0-9-]++(?:(?:\.|{_DOT})[A-Za-z0-9-]++)+", re.I
+    rf"(?<![A-Za-z0-9._%+-]){_NAME}(?:(?:\.|{_DOT}){_NAME})*+(?:(?P<at>@|{_AT})[A-Za-z0-9-]++(?:(?:\.|{_DOT})[A-Za-z0-9-]++)++)?", re.I
 )
-_AT_MARK, _DOT_MARK = re.compile(rf"(?:{_AT})", re.I), re.compile(rf"(?:{_DOT})", re.I)
+_DOT_MARK = re.compile(rf"(?:{_DOT})", re.I)
 _HINT = re.compile(r"[\[({<]\s*(?:at|@|arroba|chez|dot|punto|punkt|point|\.)\s*[\])}>]|\sdot\s", re.I)
 _DIGIT_HINT = re.compile(rf"(?<!\w)(?:{_DIGIT})[ ,.-]+(?:{_DIGIT}|[0-9]+)(?!\w)", re.I)
 
@@ -136,6 +136,8 @@ def _spelled(n: Normal) -> None:
 def _at_and_dot(n: Normal) -> None:
     changes = []
     for m in _DISGUISED.finditer(n.text):
+        if not m["at"]:
+            continue
         bare = not re.search(r"[@\[({<]", m[0])
         if bare and not _DOT_MARK.search(m[0], m.end("at") - m.start()):  # "look at example.com" is no address
             continue

@@ -1,0 +1,97 @@
+import random
+import re
+
+from lectern.llm import decontaminate as D
+
+PATTERN = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def words(text):
+    return PATTERN.findall((text or "").translate(LOWER))
+
+
+def brute(text, items, window):
+    own, hit, names = words(text), set(), set()
+    for name, item in items:
+        w = words(item)
+        n = min(window, len(w))
+        for i in range(len(w) - n + 1 if w else 0):
+            for p in range(len(own) - n + 1):
+                if own[p : p + n] == w[i : i + n]:
+                    hit |= set(range(p, p + n))
+                    names.add(name)
+    return len(own), len(hit), names
+
+
+def cases():
+    rnd = random.Random(3)
+    pool = ["a", "b", "Cc", "dé", "e1", "É"]
+    text = lambda n: " ".join(rnd.choice(pool) + rnd.choice(["", ".", "-"]) for _ in range(n))
+    items = [(str(i), text(rnd.randint(0, 14))) for i in range(12)] + [("n", None), ("dup", "a b Cc"), ("dup2", "a b Cc"), ("e", "")]
+    docs = [text(rnd.randint(0, 60)) for _ in range(40)] + [None, "", "a b cc", items[0][1] + " zz " + items[1][1], text(3000)]
+    docs += ["x " + d for d in docs[:3] if d] + [docs[0]]
+    return [(i, d, "clash") for i, d in enumerate(docs)], items
+
+
+def check(spark, window):
+    docs, items = cases()
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string, matches string")
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    got = {r["doc_id"]: r for r in D.find_matches(frame, bench, window).collect()}
+    for i, text, _ in docs:
+        n, hit, names = brute(text, items, window)
+        r = got[i]
+        assert (r["n_words"], r["n_hit"], {m["item_id"] for m in r["matches"]}) == (n, hit, names)
+        own, by = words(text), dict(items)
+        for m in r["matches"]:
+            item, k = words(by[m["item_id"]]), m["n_words"]
+            assert own[m["doc_word"] : m["doc_word"] + k] == item[m["item_word"] : m["item_word"] + k]
+            before = m["doc_word"] and m["item_word"] and own[m["doc_word"] - 1] == item[m["item_word"] - 1]
+            after = own[m["doc_word"] + k : m["doc_word"] + k + 1] == item[m["item_word"] + k : m["item_word"] + k + 1] != []
+            assert not before and not after, "a longest match can't be made longer"
+
+
+def test_matches_equal_brute_force(spark):
+    check(spark, 4)
+    check(spark, 13)
+
+
+def test_blocks_and_shards_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(D, "BLOCK_BYTES", 60)
+    monkeypatch.setattr(D, "SHARD_BYTES", 100)
+    check(spark, 4)
+
+
+def test_repeated_rows_stay_with_blocks(spark, monkeypatch):
+    monkeypatch.setattr(D, "BLOCK_BYTES", 5)
+    docs = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (1, "zz"), (None, "a b c")], "doc_id bigint, text string")
+    bench = spark.createDataFrame([("p", "a b c"), ("q", "b c")], "item_id string, text string")
+    got = sorted((str(r["doc_id"]), r["n_hit"]) for r in D.find_matches(docs, bench).collect())
+    assert got == [("1", 0), ("1", 3), ("1", 3), ("None", 3)]
+
+
+def test_suffix_array_orders_by_words():
+    import numpy as np
+
+    rnd = np.random.default_rng(1)
+    own = np.concatenate((rnd.integers(1, 3, 200), [0]))
+    array = D.suffix_array(own, np.flatnonzero(own), 8)
+    cut = [own[i : i + 8].tolist() for i in array]
+    assert cut == sorted(cut)
+
+
+def test_decontaminate_keeps_the_threshold(spark):
+    long = " ".join(f"w{i}" for i in range(13))
+    docs = spark.createDataFrame(
+        [(1, long + " u" * 247), (2, long + " u" * 248), (3, "u v w"), (4, None), (None, long)], "doc_id bigint, text string"
+    )
+    bench = spark.createDataFrame([(7, "z " + long)], "item_id bigint, text string")
+    assert sorted(r["doc_id"] for r in D.decontaminate(docs, bench).collect()) == [2, 3, 4]
+
+
+def test_empty_tables(spark, empty):
+    bench = spark.createDataFrame([], "item_id string, text string")
+    assert D.find_matches(empty, bench).count() == 0
+    one = spark.createDataFrame([(1, "a")], "doc_id bigint, text string")
+    assert D.find_matches(one, bench).first()["n_hit"] == 0

@@ -1,0 +1,85 @@
+import re
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from lectern.llm import pii
+
+CONTRACT = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(digits):
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        d = int(c) * (1 + i % 2)
+        total += d - 9 if d > 9 else d
+    return total % 10 == 0
+
+
+def plain(text):
+    found = []
+    for kind, pattern in CONTRACT.items():
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            ok = {"email": True, "ip": all(int(p) <= 255 for p in m[0].split(".")) if kind == "ip" else 0, "card": 12 <= len(digits) <= 19 and luhn(digits), "phone": 9 <= len(digits) <= 15}
+            if ok[kind]:
+                found.append((kind, *m.span()))
+    return sorted(found, key=lambda s: (s[1], pii.KINDS.index(s[0])))
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.text(alphabet="a1@.-+ ()\n%é5", max_size=40))
+def test_base_spans_equal_the_contract(text):
+    assert pii.base_spans(text) == plain(text)
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.sampled_from(["4111 1111 1111 1111", "4111-1111-1111-1112", "a.b@c.de", "@", "1.2.3.4", "256.1.1.1", "0001.002.3.255", "+1 (499) 555-6503", " ", ".", "x", "+", "7"]), max_size=9))
+def test_base_spans_of_real_shapes(parts):
+    assert pii.base_spans("".join(parts)) == plain("".join(parts))
+
+
+@pytest.mark.parametrize("text, shown", [
+    ("write to john [at] example [dot] com now", ("email", "john [at] example [dot] com")),
+    ("jane dot doe at mail dot example dot org", ("email", "jane dot doe at mail dot example dot org")),
+    ("bob(at)example.com", ("email", "bob(at)example.com")),
+    ("x＠example．com", ("email", "x＠example．com")),
+    ("саrl@example.com", ("email", "саrl@example.com")),
+    ("ann​@example.com", ("email", "ann​@example.com")),
+    ("plus four four two zero seven nine four six zero nine five eight", ("phone", "plus four four two zero seven nine four six zero nine five eight")),
+    ("４１１１ １１１１ １１１１ １１１１", ("card", "４１１１ １１１１ １１１１ １１１１")),
+    ("four one one one 1111 1111 1111 1111 is", None),
+    ("look at example.com", None),
+    ("she was at home dot", None),
+    ("one two three", None),
+])
+def test_disguises(text, shown):
+    added = pii.added_spans(text, pii.base_spans(text))
+    assert [(k, text[a:b]) for k, a, b in added] == ([shown] if shown else [])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="a1@. ＠．о[]dot at one five,", max_size=60))
+def test_added_spans_map_to_the_source(text):
+    base = pii.base_spans(text)
+    for kind, a, b in pii.added_spans(text, base):
+        assert 0 <= a < b <= len(text) and kind in pii.KINDS and (kind, a, b) not in base
+
+
+def test_long_runs_take_linear_time():
+    for text in ("a" * 200_000, "1" * 200_000, "1." * 100_000, "+1 " * 60_000, "a.b-" * 50_000 + "@", "one 2 " * 30_000, "x dot " * 30_000, "a@" * 50_000):
+        pii.added_spans(text, pii.base_spans(text))
+
+
+def test_query(spark, documents, tmp_path, empty):
+    more = spark.createDataFrame([(900, "mail a@b.co or 10.0.0.1", "en", "s", 1)], documents.schema)
+    documents.union(more).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r["doc_id"]: r for r in pii.op5_pii(spark, str(tmp_path)).collect()}
+    assert rows[900]["spans"] == "email:5:11,ip:15:23" and (rows[900]["n_email"], rows[900]["n_ip"], rows[900]["n_card"]) == (1, 1, 0)
+    assert pii.find_pii(empty).count() == 0
