@@ -122,6 +122,8 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 SAMPLES, SAMPLE_SIZE = 16, 4
 #: Least shingle hashes that are kept for the similarity of two texts: exact up to so many distinct shingles.
 KEPT = 512
+#: Rows of signatures that a worker holds.
+ROWS_AT_ONCE = 1_024
 _TURNS = np.array([int.from_bytes(xxhash.xxh64_digest(b"sample", i), "little") | 1 for i in range(SAMPLES)], np.uint64)
 
 
@@ -145,7 +147,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataF
     """(id, words: hash of all words, fp, samples array<long>, least array<int>) for each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(a, ROWS_AT_ONCE) for b in batches for a in range(0, b.num_rows, ROWS_AT_ONCE)):
             whole, fps, samples, least = [], [], [], []
             for value in batch.column(1):
                 text = value.as_py()
@@ -192,10 +194,11 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     named = balls.join(of_print.select(F.col("fp").alias("a"), F.col("head").alias("words")), "a").join(of_print.select(F.col("fp").alias("b"), F.col("head")), "b")
     pairs = cut(pairs.union(named.select("words", "head")).where("words != head").distinct())
     asked = pairs.select("words").union(pairs.select(F.col("head").alias("words"))).distinct()
-    least = rows.select("words", "least").join(asked, "words", "left_semi").groupBy("words").agg(F.first("least").alias("least"))
+    # Written out, so that the joins below stand on plain exchanges, whose hot heads can be split.
+    least = cut(rows.select("words", "least").join(asked, "words", "left_semi").groupBy("words").agg(F.first("least").alias("least")))
     one = pairs.join(least, "words").withColumnRenamed("least", "_a")
     both = one.join(least.select(F.col("words").alias("head"), F.col("least").alias("_b")), "head")
-    links = both.where(likeness(F.col("_a"), F.col("_b")) >= similarity).select(F.col("words").alias("a"), F.col("head").alias("b"))
+    links = cut(both.where(likeness(F.col("_a"), F.col("_b")) >= similarity).select(F.col("words").alias("a"), F.col("head").alias("b")))
     roots = cut(components(links))
     first = rows.groupBy("words").agg(F.min("id").alias("least"))
     held = first.join(roots, F.col("words") == F.col("node"), "left").select("words", "least", F.coalesce("root", "words").alias("root"))
