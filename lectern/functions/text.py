@@ -90,7 +90,7 @@ def format_number(kind: Column, value: Column, example: Column) -> Column:
 def join_lines(lines: Column) -> Column:
     """Lines as one text: a hyphen before a lower-case start is taken out, else a space stands between."""
     return F.aggregate(
-        F.transform(lines, F.trim),
+        F.transform(lines, lambda x: F.trim(x)),
         F.lit(""),
         lambda text, line: F.when(text.rlike("[-\\u00ad]$") & line.rlike(r"(?U)^\p{Ll}"), F.concat(F.substring(text, F.lit(1), F.length(text) - 1), line)).otherwise(
             F.trim(F.concat(text, F.lit(" "), line))
