@@ -18,6 +18,9 @@ EXCLUDED = ["index", "índice", "content", "contents", "detailed contents", "con
 FIGURE_ID = r"[A-Za-z]?\d+(?:[.\-–—]\d+)*(?:[A-Za-z])?"
 CAPTION = rf"(?iU)^\s*(?:fig(?:ure|ura)?s?\.?|ilustraci[oó]n|abbildung)\s*({FIGURE_ID})\b"
 SENTENCE_END = r"[.!?…][\s\"'’”)\]]*$"
+FRONT_MATTER = ["preface", "prefacio", "foreword", "prólogo", "prologo", "acknowledgments", "acknowledgements", "agradecimientos"]
+LIST_START = r"^(?:\d+[.)]|\d+[–\-]\d+(?=\s+[A-Z])|[A-Za-z][.)]|\([A-Za-z]\))\s+"
+TABLE_CAPTION = r"(?imU)^\s*(?:Table|Tabla)\s+(\d+(?:[.\-–—]\d+)*(?:[A-Za-z])?)\b"
 CHAPTER = r"(?iU)^(chapter|cap[ií]tulo|kapitel)\s+(\d+)\b"
 ROMAN = r"(?i)^M{0,3}(CM|CD|D?C{0,3})(XC|XL|L?X{0,3})(IX|IV|V?I{0,3})$"
 VOWELS = "aeiouyáéíóúüAEIOUYÁÉÍÓÚÜ"
@@ -100,15 +103,16 @@ def join_lines(lines: Column) -> Column:
 
 def margin_key(text: Column) -> Column:
     """What a repeated margin line has in common: case, white space and digits are evened out."""
-    return F.regexp_replace(F.trim(F.regexp_replace(F.lower(text), r"(?U)\s+", " ")), r"[0-9]", "#")
+    return F.regexp_replace(F.trim(F.regexp_replace(F.lower(text), r"(?U)\s+", " ")), r"[0-9]+", "#")
 
 
 def passage_label(book: Column, start: Column, end: Column, first: Column, last: Column, reason: Column) -> Column:
-    """``book: pdf page(s) a[–b], print page(s) ...`` or why the print page isn't known."""
-    span = lambda a, b: F.when(a == b, a.cast("string")).otherwise(F.concat(a.cast("string"), F.lit("–"), b.cast("string")))
-    name = lambda what, a, b: F.concat(F.lit(what), F.when(a == b, F.lit(" page ")).otherwise(F.lit(" pages ")), span(a, b))
-    printed = F.when(first.isNotNull(), name("print", first, last)).otherwise(F.concat(F.lit("print page unknown: "), F.coalesce(reason, F.lit(""))))
-    return F.concat(book, F.lit(": "), name("pdf", start, end), F.lit(", "), printed)
+    """``book: pdf page(s) a[–b] <print page(s): c[–d]>``, or why the print page isn't known."""
+    one = start == end
+    span = lambda a, b: F.when(one, a.cast("string")).otherwise(F.concat(a.cast("string"), F.lit("–"), b.cast("string")))
+    pages = F.when(one, F.lit("page")).otherwise(F.lit("pages"))
+    printed = F.when(first.isNotNull(), F.concat(F.lit("print "), pages, F.lit(": "), span(first, last))).otherwise(F.concat(F.lit("print page unknown: "), F.coalesce(reason, F.lit(""))))
+    return F.concat(book, F.lit(": pdf "), pages, F.lit(" "), span(start, end), F.lit(" <"), printed, F.lit(">"))
 
 
 def json_string(text: Column) -> Column:

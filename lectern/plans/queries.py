@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import answers, evaluation, labels, navigation, passages, quality, retrieval, store
+from ..operators import answers, evaluation, labels, layout, navigation, passages, quality, retrieval, store
 from ..sources import files
 from .inputs import BOOK, EVERY, LINES, NODES, book_of, index_nodes, lines, questions, table
 
@@ -197,7 +197,7 @@ def passage_id_sha(spark, sf_dir):
 
 @query(
     f"""with l as ({LINES})
-select book_id, pdf_page, count(*) as n_passages, cast(sum(length(text)) as bigint) as chars, book_id || ': pdf page ' || pdf_page || ', print page unknown: no-header-number' as label
+select book_id, pdf_page, count(*) as n_passages, cast(sum(length(text)) as bigint) as chars, book_id || ': pdf page ' || pdf_page || ' <print page unknown: no-header-number>' as label
 from l where trim(text) != '' group by book_id, pdf_page"""
 )
 def passages_from_documents(spark, sf_dir):
@@ -483,7 +483,7 @@ def table_names(spark, sf_dir):
 
 
 @query(
-    f"""with l as ({LINES}), k as (select book_id, pdf_page, regexp_replace(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), '[0-9]', '#', 'g') as key from l)
+    f"""with l as ({LINES}), k as (select book_id, pdf_page, regexp_replace(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), '[0-9]+', '#', 'g') as key from l)
 select book_id, md5(key) as key, count(distinct pdf_page) as n_pages from k group by book_id, key having count(distinct pdf_page) >= 2"""
 )
 def repeated_margins(spark, sf_dir):
@@ -597,3 +597,50 @@ def eval_quarantine(spark, sf_dir):
         .otherwise(F.format_string(good.replace("%s", "%1$s", 1).replace("%s", "confirmed", 1).replace("%s", "es"), item))
     )
     return files.eval_lines(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("line"), made.alias("value")))[1]
+
+
+@query(
+    f"""with d as (select source || '-' || cast(doc_id // {BOOK} as varchar) as book_id, doc_id, case when doc_id % 3 = 0 then ' ' else lang end as caption, case when doc_id % 4 = 0 then '?' else cast(doc_id as varchar) end as identifier from documents)
+select book_id, count(*) as figures, count_if(trim(caption) = '') as captionless, count_if(identifier = '?') as unnumbered from d group by book_id"""
+)
+def figure_counts(spark, sf_dir):
+    caption, identifier = F.when(F.col("doc_id") % 3 == 0, " ").otherwise(F.col("lang")), F.when(F.col("doc_id") % 4 == 0, "?").otherwise(F.col("doc_id").cast("string"))
+    return layout.figure_counts(table(spark, sf_dir, "documents").select(book_of().alias("book_id"), caption.alias("caption"), identifier.alias("identifier")))
+
+
+@query(
+    f"""with d as (select source || '-' || cast(doc_id // {BOOK} as varchar) as book_id, doc_id, case when doc_id % 5 = 0 then null else cast(doc_id % 50 as varchar) end as printed,
+  case when doc_id % 7 = 0 then '' when doc_id % 7 = 1 then '3' else cast(doc_id % 50 as varchar) end as pdf_label from documents),
+f as (select book_id, 'method' as what, case when printed is null then 'none' else 'read' end as value from d
+  union all select book_id, 'reason', 'no-header-number' from d where printed is null
+  union all select book_id, 'source', case when doc_id % 3 = 0 then 'ocr' else 'born-digital' end from d
+  union all select book_id, 'label', case when pdf_label = '' then 'absent' when printed is null then 'unverified' when pdf_label = printed then 'agree' else 'disagree' end from d
+  union all select book_id, 'passage', case when doc_id % 4 = 1 then 'two pages' else 'other' end from d)
+select book_id, what, value, count(*) as n from f group by book_id, what, value"""
+)
+def extraction_report(spark, sf_dir):
+    n = (F.col("doc_id") % 50).cast("string")
+    printed = F.when(F.col("doc_id") % 5 != 0, n)
+    docs = table(spark, sf_dir, "documents").withColumn("book_id", book_of())
+    pages = docs.select(
+        "book_id", F.when(printed.isNull(), "none").otherwise("read").alias("method"), F.when(printed.isNull(), "no-header-number").alias("reason"), F.when(F.col("doc_id") % 3 == 0, "ocr").otherwise("born-digital").alias("text_source"),
+        F.when(F.col("doc_id") % 7 == 0, "").when(F.col("doc_id") % 7 == 1, "3").otherwise(n).alias("pdf_label"), printed.alias("printed"),
+    )
+    ranges = docs.select("book_id", F.col("doc_id").alias("pdf_start"), (F.col("doc_id") + F.col("doc_id") % 4).alias("pdf_end"))
+    return layout.extraction_report(pages, ranges)
+
+
+@query()
+def reading_loops(spark, sf_dir):
+    """Every document with a phrase repeated at its end where the id is even: how much of it a reading keeps."""
+    docs = table(spark, sf_dir, "documents")
+    read = F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit(" "), F.repeat(F.lit("and so on, "), F.lit(40)))).otherwise(F.col("text"))
+    return docs.select("doc_id", F.length("text").alias("chars"), F.length(layout.without_loop(read)).alias("kept"))
+
+
+@query()
+def heading_sections(spark, sf_dir):
+    """Lines of every document with the section path that headings among them give."""
+    rows = lines(spark, sf_dir).withColumns({"size": F.lit(10.0), "bookmark": F.when(F.col("pos") == 0, F.array(F.concat(F.lit("Chapter "), F.col("pdf_page").cast("string"))))})
+    found = layout.sections(rows.select("book_id", "pdf_page", "pos", "text", "size", "bookmark"))
+    return found.select("book_id", "pdf_page", "pos", F.array_join("path", " > ").alias("path"))

@@ -48,8 +48,8 @@ def test_passage_id_equals_the_json_digest(spark, text):
 
 def test_labels_names_and_keys(spark):
     none = F.lit(None).cast("string")
-    assert one(spark, T.passage_label(F.lit("b"), F.lit(3), F.lit(4), F.lit("ix"), F.lit("x"), none)) == "b: pdf pages 3–4, print pages ix–x"
-    assert one(spark, T.passage_label(F.lit("b"), F.lit(3), F.lit(3), none, none, F.lit("hidden"))) == "b: pdf page 3, print page unknown: hidden"
+    assert one(spark, T.passage_label(F.lit("b"), F.lit(3), F.lit(4), F.lit("ix"), F.lit("x"), none)) == "b: pdf pages 3–4 <print pages: ix–x>"
+    assert one(spark, T.passage_label(F.lit("b"), F.lit(3), F.lit(3), none, none, F.lit("hidden"))) == "b: pdf page 3 <print page unknown: hidden>"
     digest = hashlib.sha256(b"Qwen/Embed 8B").hexdigest()[:16]
     assert one(spark, T.table_name("v6", F.lit("Qwen/Embed 8B"), roles=True)) == f"e_v6r_qwen_embed_8b_{digest}"
     assert one(spark, T.table_name("v6", F.lit("Qwen/Embed 8B"), roles=True, purpose="embed-large")) == f"e_v6_qwen_embed_8b_{digest}"
