@@ -123,3 +123,27 @@ def served_totals(logged: DataFrame, evidence: DataFrame) -> DataFrame:
         F.count_if(~F.col("in_scope") & (F.col("graded") > 0) & ~F.col("any_true")).alias("correct_not_found"),
         F.coalesce(F.sum("ungraded"), F.lit(0).cast("bigint")).alias("ungraded"),
     )
+
+
+def run_counts(records: DataFrame, quarantine: DataFrame, scored: DataFrame, statuses: tuple[str, ...] = ("confirmed",)) -> DataFrame:
+    """One row: what an evaluation read, kept, retrieved, scored and skipped; set_version is the largest of all records.
+
+    A question is skipped if it should be answerable and nothing of it can be scored: for
+    its status, or else for want of evidence.
+    """
+    done = records.join(scored.select(F.col("qid").alias("id"), F.lit(True).alias("done")).distinct(), "id", "left")
+    active, open_ = F.col("status") != "retired", F.col("done").isNull()
+    skipped = active & ~F.col("expect_not_found") & open_
+    sums = done.agg(
+        F.count("*").alias("records"),
+        F.max("set_version").alias("set_version"),
+        F.count_if(~active).alias("retired"),
+        F.count_if(active).alias("retrieved"),
+        F.count_if(active & ~F.col("expect_not_found")).alias("answerable"),
+        F.count_if(active & F.col("expect_not_found")).alias("not_found"),
+        F.count_if(active & ~open_).alias("scored"),
+        F.count_if(skipped & ~F.col("status").isin(*statuses)).alias("skipped_status"),
+        F.count_if(skipped & F.col("status").isin(*statuses)).alias("skipped_evidence"),
+    )
+    bad = quarantine.agg(F.count("*").alias("malformed"))
+    return sums.join(F.broadcast(bad)).withColumn("read", F.col("records") + F.col("malformed")).drop("records")

@@ -100,3 +100,21 @@ def numbered_parents(headings: DataFrame) -> DataFrame:
     there = firsts.select("book_id", F.col("number").alias("parent"), F.lit(True).alias("there"))
     met = above.join(there, ["book_id", "parent"], "left").withColumn("ok", F.col("there") & (F.col("parent") != F.col("number")))
     return met.groupBy("book_id", "number", "page").agg(F.max_by(F.when(F.col("ok"), F.col("parent")), F.when(F.col("ok"), F.length("parent"))).alias("parent"))
+
+
+def content_pages(passages: DataFrame) -> DataFrame:
+    """passages (book_id, kind, pdf_start, pdf_end) -> (book_id, page): pages that content covers, each once."""
+    return passages.where("kind = 'content'").select("book_id", F.explode(F.sequence("pdf_start", "pdf_end")).alias("page")).distinct()
+
+
+def scanned_books(content: DataFrame, pages: DataFrame) -> DataFrame:
+    """content (book_id, page), pages (book_id, pdf_page, text_source) -> (book_id, scanned): more than half of its content pages are kept readings."""
+    met = content.join(pages.select("book_id", F.col("pdf_page").alias("page"), "text_source"), ["book_id", "page"], "left")
+    return met.groupBy("book_id").agg((2 * F.count_if(F.col("text_source") == "ocr") > F.count("*")).alias("scanned"))
+
+
+def chapter_gaps(headings: DataFrame) -> DataFrame:
+    """headings (book_id, number) -> (book_id, number): whole numbers from 1 to the largest that no heading has."""
+    whole = headings.where(F.col("number").rlike("^[0-9]{1,4}$")).select("book_id", F.col("number").cast("int").alias("number")).distinct()
+    every = whole.groupBy("book_id").agg(F.max("number").alias("last")).select("book_id", F.explode(F.sequence(F.lit(1), F.greatest("last", F.lit(1)))).alias("number"))
+    return every.join(whole, ["book_id", "number"], "left_anti")

@@ -83,3 +83,14 @@ def export(rows: DataFrame, path: str, order: list[str]) -> int:
     if not files.rename(staged, target):
         raise OSError(f"{path} could not be replaced")
     return count
+
+
+def fresh(cache: DataFrame, current: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of a cache whose fingerprint is still that of its inputs; a stale or unknown key gives none."""
+    return cache.join(current.select(*keys, "fingerprint"), [*keys, "fingerprint"], "left_semi")
+
+
+def fingerprints(inputs: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """One digest a key over its input rows (files, sizes, versions), whatever their order."""
+    row = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+    return inputs.groupBy(*keys).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(row)), ","), 256).alias("fingerprint"))

@@ -193,3 +193,26 @@ def test_model_calls_in_batches(spark):
     df = answers.with_reply(spark.createDataFrame([("a",), ("b",)], "p string"), lambda texts: [t.upper() if t == "a" else None for t in texts], "p")
     assert rows(df.where("reply is not null")) == [("a", "A")]
     assert answers.with_embedding(df, lambda ts: [[1.0, 2.0] for _ in ts], 2, "p").first()["embedding"] == [1.0, 2.0]
+
+
+def test_run_counts(spark):
+    records = spark.createDataFrame([("a", 1, "confirmed", False), ("b", 3, "draft", False), ("c", 2, "retired", False), ("d", 1, "confirmed", True), ("e", 1, "confirmed", False)], "id string, set_version int, status string, expect_not_found boolean")
+    bad, scored = spark.createDataFrame([("x",)], "name string"), spark.createDataFrame([("a",)], "qid string")
+    got = evaluation.run_counts(records, bad, scored).first().asDict()
+    assert got == {"set_version": 3, "retired": 1, "retrieved": 4, "answerable": 3, "not_found": 1, "scored": 1, "skipped_status": 1, "skipped_evidence": 1, "malformed": 1, "read": 6}
+
+
+def test_books_and_chapters(spark):
+    p = spark.createDataFrame([("b", "content", 1, 3), ("b", "summary", 9, 9), ("c", "content", 1, 2)], "book_id string, kind string, pdf_start int, pdf_end int")
+    pages = spark.createDataFrame([("b", i, "ocr" if i < 3 else "born-digital") for i in range(1, 5)] + [("c", 1, "ocr"), ("c", 2, "hidden")], "book_id string, pdf_page int, text_source string")
+    assert rows(navigation.scanned_books(navigation.content_pages(p), pages)) == [("b", True), ("c", False)]
+    heads = spark.createDataFrame([("b", n) for n in ("1", "2", "5", "5.1", "x")], "book_id string, number string")
+    assert rows(navigation.chapter_gaps(heads)) == [("b", 3), ("b", 4)]
+
+
+def test_caches_by_fingerprint(spark):
+    inputs = spark.createDataFrame([("b", "f1", 3), ("b", "f2", 4), ("c", "f1", 3)], "book_id string, file string, size int")
+    one = store.fingerprints(inputs, ["book_id"], ["file", "size"])
+    two = store.fingerprints(inputs.orderBy(F.desc("file")).union(spark.createDataFrame([("c", "f9", 1)], inputs.schema)), ["book_id"], ["file", "size"])
+    cache = one.withColumn("pages", F.lit("kept"))
+    assert rows(store.fresh(cache, one, ["book_id"]), "book_id") == [("b",), ("c",)] and rows(store.fresh(cache, two, ["book_id"]), "book_id") == [("b",)]
