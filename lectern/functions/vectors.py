@@ -16,7 +16,8 @@ DECIMALS = 9
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.array([v if v is not None else [] for v in column.to_pylist()], dtype=np.float64).reshape(len(column), -1)
+    """Rows of equal length; another length is an error."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -53,17 +54,21 @@ def top_k(questions: DataFrame, index: DataFrame, k: int = 10, skip_same_id: boo
                 scores = np.round(_unit(_matrix(batch.column(1))) @ unit.T, DECIMALS)
                 ids = batch.column(0).to_pylist()
                 order = sorted(range(len(ids)), key=ids.__getitem__)
-                scores = scores[order]
+                scores = np.ascontiguousarray(scores[order].T)
+                place = {ids[o]: i for i, o in enumerate(order)}  # last place of an id, and first
+                first = {ids[o]: i for i, o in reversed(list(enumerate(order)))}
                 outs, rows, values = [], [], []
                 for q, name in enumerate(names):
-                    column = scores[:, q].copy()
-                    if skip_same_id:
-                        column[[i for i, o in enumerate(order) if ids[o] == name]] = -np.inf
-                    best = np.argsort(-column, kind="stable")[:k]
-                    best = best[np.isfinite(column[best])]
+                    own = scores[q]
+                    if skip_same_id and name in place:
+                        own[first[name] : place[name] + 1] = -np.inf
+                    least = np.partition(own, -k)[-k] if k < len(own) else -np.inf
+                    near = np.flatnonzero(own >= least)  # in order of ids, which settles ties
+                    best = near[np.argsort(-own[near], kind="stable")[:k]]
+                    best = best[np.isfinite(own[best])]
                     outs += [name] * len(best)
                     rows += [ids[order[i]] for i in best]
-                    values += column[best].tolist()
+                    values += own[best].tolist()
                 yield pa.RecordBatch.from_arrays([pa.array(outs, batch_type(qid)), pa.array(rows, batch.schema.field(0).type), pa.array(values)], names=["qid", "id", "score"])
 
         part = rows.mapInArrow(run, f"qid {qid}, id {id_}, score double")
