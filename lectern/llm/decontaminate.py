@@ -7,7 +7,6 @@ the longest verbatim matches with their places in document and item.
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass

@@ -34,6 +34,12 @@ _LETTER = re.compile(r"[^\W\d_]")
 _CODES = 0x110000
 
 
+def has_letter(text: str) -> bool:
+    """Whether a text has a letter (Unicode category L); numbers like ² or Ⅷ are none."""
+    found = _LETTER.search(text)
+    return bool(found) and (found[0].isalpha() or any(map(str.isalpha, text)))
+
+
 @dataclass
 class Model:
     langs: list[str]
@@ -76,7 +82,7 @@ def _rows(texts: list[str], m: Model) -> np.ndarray:
 
 def fit(rows: list[tuple[str, str]]) -> Model | None:
     """(text, lang) pairs -> model; None without any text that has a letter. The order of the pairs doesn't matter."""
-    rows = sorted({(t, g) for t, g in rows if _LETTER.search(t)}, key=lambda r: (r[1], r[0]))
+    rows = sorted({(t, g) for t, g in rows if has_letter(t)}, key=lambda r: (r[1], r[0]))
     if not rows:
         return None
     langs = sorted({g for _, g in rows})
@@ -123,7 +129,7 @@ def fit(rows: list[tuple[str, str]]) -> Model | None:
 def predict(texts: list[str], model: Model | None) -> tuple[list[str], np.ndarray]:
     """Language and score (0 to 1) of each text; ``und`` and 0 where there is no letter, or no model."""
     langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
-    use = [i for i, t in enumerate(texts) if model and _LETTER.search(t)]
+    use = [i for i, t in enumerate(texts) if model and has_letter(t)]
     for a in range(0, len(use), ROWS_AT_ONCE):
         part = use[a : a + ROWS_AT_ONCE]
         found = _rows([texts[i] for i in part], model) @ model.weights

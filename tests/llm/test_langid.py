@@ -38,7 +38,7 @@ def test_model_is_the_same_for_any_order():
 
 def test_texts_without_letters_are_unknown():
     model = langid.fit(texts(5, 7))
-    langs, scores = langid.predict(["", "123 !?", " \n", "🙂", "ж", "a"], model)
+    langs, scores = langid.predict(["", "123 !?", " \n", "🙂 ²½Ⅷ", "ж", "a", "² a"], model)
     assert langs[:4] == ["und"] * 4 and scores[:4].tolist() == [0] * 4 and "und" not in langs[4:]
     assert langid.fit([]) is None and langid.predict(["abc"], None)[0] == ["und"]
 
