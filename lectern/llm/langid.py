@@ -26,8 +26,8 @@ SAMPLE_PER_LANG, MAX_LANGS, LANDMARKS_PER_LANG, ALPHABET = 300, 64, 24, 120
 #: Characters of training texts that reach the driver at most; rows beyond it are not sampled.
 SAMPLE_CHARS = 8_000_000
 RIDGE = 1e-3
-#: Texts that are scored by one matrix product, and n-grams that are looked up at once.
-ROWS_AT_ONCE, GRAMS_AT_ONCE = 256, 1 << 20
+#: Texts that are scored by one matrix product.
+ROWS_AT_ONCE = 256
 UNKNOWN = "und"
 
 _LETTER = re.compile(r"[^\W\d_]")
