@@ -120,8 +120,8 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 #: Consistent samples of a text's shingles that get a SimHash of their own, and the shingles of a sample.
 SAMPLES, SAMPLE_SIZE = 16, 4
-#: Least shingle hashes that are kept for the similarity of two texts: exact up to so many distinct shingles.
-KEPT = 512
+#: Bits of the filter of wanted texts for each of them, and the most bits; others that pass it are dropped by a join.
+BITS_EACH, MOST_BITS = 16, 1 << 27
 #: Rows of signatures that a worker holds.
 ROWS_AT_ONCE = 1_024
 _TURNS = np.array([int.from_bytes(xxhash.xxh64_digest(b"sample", i), "little") | 1 for i in range(SAMPLES)], np.uint64)
@@ -143,34 +143,91 @@ def sample_prints(distinct: np.ndarray) -> np.ndarray:
     return found ^ (np.arange(SAMPLES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
+def words_hash(text: str | None) -> int:
+    """XXH64 of all words, joined by spaces; A-Z is lower-cased."""
+    return xxhash.xxh64_intdigest(b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split()), 7)
+
+
+def _lists(x: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *x])))
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, words: hash of all words, fp, samples array<long>, least array<int>) for each row of docs."""
+    """(id, words: hash of all words, fp, samples array<long>, n: distinct shingles) for each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(a, ROWS_AT_ONCE) for b in batches for a in range(0, b.num_rows, ROWS_AT_ONCE)):
-            whole, fps, samples, least = [], [], [], []
+            whole, fps, samples, n = [], [], [], []
             for value in batch.column(1):
                 text = value.as_py()
                 hashes = shingle_hashes(text, width)
                 distinct = np.unique(hashes)
-                whole.append(xxhash.xxh64_intdigest(b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split()), 7))
+                whole.append(words_hash(text))
                 fps.append(simhash_of(hashes))
                 samples.append(sample_prints(distinct).view(np.int64))
-                mixed = (distinct * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)
-                least.append(np.sort(mixed)[:KEPT].astype(np.uint32).view(np.int32))
+                n.append(len(distinct))
             longs = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            lists = lambda x, t: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, t), *x])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), longs(whole), longs(fps), lists(samples, np.int64), lists(least, np.int32)], names=["id", "words", "fp", "samples", "least"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), longs(whole), longs(fps), _lists(samples), pa.array(n, pa.int64())], names=["id", "words", "fp", "samples", "n"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return texts.mapInArrow(run, f"id {kind}, words long, fp long, samples array<long>, least array<int>")
+    return texts.mapInArrow(run, f"id {kind}, words long, fp long, samples array<long>, n long")
+
+
+def shingle_sets(docs: DataFrame, asked: DataFrame, text_col: str, width: int) -> DataFrame:
+    """(words, shingles: all distinct hashes) for each of asked (words, no repeats).
+
+    A bit filter keeps most other texts from being hashed and shuffled; the join decides.
+    """
+    bits = min(MOST_BITS, max(BITS, 1 << (BITS_EACH * asked.count()).bit_length()))
+    slot = F.col("words").bitwiseAND(F.lit(bits - 1))
+    marks = asked.groupBy((slot / BITS).cast("long").alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(words & {BITS - 1} as int))")).alias("marks")).toArrow()
+    wanted = np.zeros(bits // BITS, np.uint64)
+    wanted[marks["at"].to_numpy()] = marks["marks"].to_numpy().view(np.uint64)
+    sent = docs.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(a, ROWS_AT_ONCE) for b in batches for a in range(0, b.num_rows, ROWS_AT_ONCE)):
+            whole, sets = [], []
+            for value in batch.column(0):
+                text = value.as_py()
+                words = words_hash(text)
+                at = words & (bits - 1)
+                if int(sent.value[at // BITS]) >> (at % BITS) & 1:
+                    whole.append(words)
+                    sets.append(np.unique(shingle_hashes(text, width)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(whole, np.uint64).view(np.int64)), _lists(sets)], names=["words", "shingles"])
+
+    every = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "words long, shingles array<long>")
+    return every.join(asked, "words", "left_semi").groupBy("words").agg(F.first("shingles").alias("shingles"))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Jaccard similarity of two texts from their least hashes: exact if both have at most KEPT distinct shingles."""
-    either = F.slice(F.sort_array(F.array_union(a, b)), 1, KEPT)
-    return F.when(F.size(either) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(either, F.array_intersect(a, b))) / F.size(either))
+    """Exact Jaccard similarity of two sets without repeats; 1 for two empty ones."""
+    both = F.size(F.array_intersect(a, b))
+    either = F.size(a) + F.size(b) - both
+    return F.when(either == 0, F.lit(1.0)).otherwise(both / either)
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles have the similarity."""
+    one = pairs.join(sets.select(F.col("words").alias("a"), F.col("shingles").alias("_a")), "a")
+    both = one.join(sets.select(F.col("words").alias("b"), F.col("shingles").alias("_b")), "b")
+    return cut(both.where(likeness(F.col("_a"), F.col("_b")) >= similarity).select("a", "b"))
+
+
+def buckets(rows: DataFrame) -> DataFrame:
+    """rows of signatures -> (key, words, n) without repeats, for keys that several texts share.
+
+    A key is a sample's SimHash, or a value within one bit of the fingerprint.
+    """
+    prints = rows.select("fp").distinct()
+    near = prints.select("fp", F.explode(ball(F.col("fp"), 1)).alias("key")).groupBy("key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
+    keys = near.select("key", F.explode("fps").alias("_fp")).union(prints.select("fp", "fp")).distinct()
+    of_ball = rows.select("words", "n", "fp").distinct().join(keys, F.col("fp") == F.col("_fp")).select("key", "words", "n")
+    every = rows.select(F.explode("samples").alias("key"), "words", "n").union(of_ball).distinct()
+    shared_keys = every.groupBy("key").agg(F.min("words").alias("x"), F.max("words").alias("y")).where("x != y").select(F.col("key").alias("_key"))
+    return every.join(shared_keys, F.col("key") == F.col("_key")).select("key", "words", "n")
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -178,28 +235,20 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Texts of the same words are copies. Two texts are candidates if their fingerprints lie
     within 2 bits (ball hashing), or if a sample of theirs has the same SimHash; balls alone
-    find only texts that are almost equal, as a similarity of 0.8 comes to some 10 bits. In
-    each bucket every text meets the one of the least id, so that the pairs grow with the
-    rows; a pair links if its similarity is ``similarity`` or more. Null and empty texts are
-    copies of each other; repeated rows and null ids are as in simhash_groups().
+    find only texts that are almost equal, as a similarity of 0.8 comes to some 10 bits.
+    Candidates link if the exact Jaccard similarity of all their distinct shingles is
+    ``similarity`` or more. In each bucket every text meets
+    the least one, unless their sizes alone rule the similarity out. Null and empty texts are copies of each other; repeated rows and null ids are
+    as in simhash_groups().
     """
     rows = cut(signatures(docs, id_col, text_col, width))
-    of_sample = rows.select("id", "words", F.explode("samples").alias("key"))
-    head = F.min(F.struct("id", "words"))
-    heads = of_sample.groupBy("key").agg(head.alias("head"), F.min("words").alias("x"), F.max("words").alias("y")).where("x != y").select(F.col("key").alias("_key"), F.col("head.words").alias("head"))
-    pairs = of_sample.select("words", "key").distinct().join(heads, F.col("key") == F.col("_key")).select("words", "head")
-    of_print = rows.groupBy("fp").agg(head["words"].alias("head"))
-    pairs = pairs.union(rows.select("words", "fp").distinct().join(of_print.withColumnRenamed("fp", "_fp"), F.col("fp") == F.col("_fp")).select("words", "head"))
-    balls = fingerprint_links(of_print.select("fp"), 2)
-    named = balls.join(of_print.select(F.col("fp").alias("a"), F.col("head").alias("words")), "a").join(of_print.select(F.col("fp").alias("b"), F.col("head")), "b")
-    pairs = cut(pairs.union(named.select("words", "head")).where("words != head").distinct())
-    asked = pairs.select("words").union(pairs.select(F.col("head").alias("words"))).distinct()
-    # Written out, so that the joins below stand on plain exchanges, whose hot heads can be split.
-    least = cut(rows.select("words", "least").join(asked, "words", "left_semi").groupBy("words").agg(F.first("least").alias("least")))
-    one = pairs.join(least, "words").withColumnRenamed("least", "_a")
-    both = one.join(least.select(F.col("words").alias("head"), F.col("least").alias("_b")), "head")
-    links = cut(both.where(likeness(F.col("_a"), F.col("_b")) >= similarity).select(F.col("words").alias("a"), F.col("head").alias("b")))
-    roots = cut(components(links))
+    # Written out, so that the joins below stand on plain exchanges, whose hot keys can be split.
+    members = cut(buckets(rows))
+    sets = cut(shingle_sets(docs, members.select("words").distinct(), text_col, width))
+    fits = lambda x, y: (x == y) | (F.least(x, y) / F.greatest(x, y) >= similarity)
+    heads = members.groupBy("key").agg(F.min(F.struct("words", "n")).alias("head")).select(F.col("key").alias("_key"), "head")
+    met = members.join(heads, F.col("key") == F.col("_key")).where(F.col("words") != F.col("head.words")).where(fits(F.col("n"), F.col("head.n")))
+    roots = cut(components(_alike(cut(met.select(F.col("words").alias("a"), F.col("head.words").alias("b")).distinct()), sets, similarity)))
     first = rows.groupBy("words").agg(F.min("id").alias("least"))
     held = first.join(roots, F.col("words") == F.col("node"), "left").select("words", "least", F.coalesce("root", "words").alias("root"))
     of_root = held.groupBy("root").agg(F.min("least").alias("component"))

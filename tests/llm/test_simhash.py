@@ -108,6 +108,31 @@ def test_likeness_is_exact_for_short_texts(spark):
     assert np.allclose(got, [0.5, 1, 0, 0.6])
 
 
+def exact_groups(texts, width=5, similarity=0.8):
+    sets = [{tuple(w[i : i + width]) for i in range(len(w) - width + 1)} for w in (t.split() for t in texts)]
+    alike = [(i, j) for i, a in enumerate(sets) for j in range(i) if len(a & sets[j]) / len(a | sets[j]) >= similarity]
+    return groups(alike, range(len(texts)))
+
+
+def spread(words, n, at, mark):
+    """n words replaced, so far apart that each takes its own five shingles."""
+    own = list(words)
+    for k in range(n):
+        own[at + 10 * k] = f"{mark}x{k}"
+    return " ".join(own)
+
+
+def test_long_texts_are_decided_on_all_shingles(spark):
+    texts = []
+    for k in range(12):  # 1,996 shingles: 0.801 with 44 words replaced, 0.797 with 45
+        words = [f"t{k}w{i}" for i in range(2000)]
+        texts += [" ".join(words), spread(words, 44 + k % 2, 20, "new")]
+    want = exact_groups(texts)
+    assert len(set(want.values())) == 18
+    got = S.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    assert {r["id"]: r["component"] for r in got} == want
+
+
 def test_empty_table(spark, empty):
     assert S.simhash_groups(empty).count() == 0
     assert S.keep_one(empty).count() == 0
