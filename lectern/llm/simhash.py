@@ -122,6 +122,10 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 SAMPLES, SAMPLE_SIZE = 16, 4
 #: Bits of the filter of wanted texts for each of them, and the most bits; others that pass it are dropped by a join.
 BITS_EACH, MOST_BITS = 16, 1 << 27
+#: Parity bits of a text's distinct shingles: two texts differ in at least as many shingles as bits.
+PARITY = 1_024
+#: Rounds in which a text meets one other of its bucket, before all that are still apart meet.
+HEADS = 2
 #: Rows of signatures that a worker holds.
 ROWS_AT_ONCE = 1_024
 _TURNS = np.array([int.from_bytes(xxhash.xxh64_digest(b"sample", i), "little") | 1 for i in range(SAMPLES)], np.uint64)
@@ -175,7 +179,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataF
 
 
 def shingle_sets(docs: DataFrame, asked: DataFrame, text_col: str, width: int) -> DataFrame:
-    """(words, shingles: all distinct hashes) for each of asked (words, no repeats).
+    """(words, shingles: all distinct hashes, parity array<long>) for each of asked (words, no repeats).
 
     A bit filter keeps most other texts from being hashed and shuffled; the join decides.
     """
@@ -188,18 +192,21 @@ def shingle_sets(docs: DataFrame, asked: DataFrame, text_col: str, width: int) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(a, ROWS_AT_ONCE) for b in batches for a in range(0, b.num_rows, ROWS_AT_ONCE)):
-            whole, sets = [], []
+            whole, sets, parity = [], [], []
             for value in batch.column(0):
                 text = value.as_py()
                 words = words_hash(text)
                 at = words & (bits - 1)
                 if int(sent.value[at // BITS]) >> (at % BITS) & 1:
                     whole.append(words)
-                    sets.append(np.unique(shingle_hashes(text, width)).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(whole, np.uint64).view(np.int64)), _lists(sets)], names=["words", "shingles"])
+                    distinct = np.unique(shingle_hashes(text, width))
+                    sets.append(distinct.view(np.int64))
+                    odd = np.bincount((distinct % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1
+                    parity.append(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(whole, np.uint64).view(np.int64)), _lists(sets), _lists(parity)], names=["words", "shingles", "parity"])
 
-    every = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "words long, shingles array<long>")
-    return every.join(asked, "words", "left_semi").groupBy("words").agg(F.first("shingles").alias("shingles"))
+    every = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "words long, shingles array<long>, parity array<long>")
+    return every.join(asked, "words", "left_semi").groupBy("words").agg(F.first("shingles").alias("shingles"), F.first("parity").alias("parity"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -209,6 +216,13 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(either == 0, F.lit(1.0)).otherwise(both / either)
 
 
+def most_alike(n: Column, parity: Column, n_b: Column, parity_b: Column) -> Column:
+    """Bound of likeness() from sizes and parity bits: never less than it."""
+    apart = sum((F.bit_count(F.get(parity, F.lit(i)).bitwiseXOR(F.get(parity_b, F.lit(i)))) for i in range(PARITY // BITS)), F.lit(0))
+    both = (n + n_b - apart) / 2
+    return F.coalesce(F.try_divide(both, n + n_b - both), F.lit(1.0))
+
+
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose sets of shingles have the similarity."""
     one = pairs.join(sets.select(F.col("words").alias("a"), F.col("shingles").alias("_a")), "a")
@@ -216,6 +230,19 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return cut(both.where(likeness(F.col("_a"), F.col("_b")) >= similarity).select("a", "b"))
 
 
+def _edges(roots: DataFrame | None, more: DataFrame) -> DataFrame:
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more) if roots else more
+
+
+def _left(members: DataFrame, roots: DataFrame, links: DataFrame) -> DataFrame:
+    """The members (key, words, n) of keys of several groups, with root and rank: the texts of most links come first."""
+    rank = links.select(F.col("a").alias("_w")).union(links.select("b")).groupBy("_w").agg((-F.count("*")).cast("int").alias("rank"))
+    joined = members.join(roots, F.col("words") == F.col("node"), "left").join(rank, F.col("words") == F.col("_w"), "left")
+    joined = joined.select("key", "words", "n", F.coalesce("root", "words").alias("root"), F.coalesce("rank", F.lit(0)).alias("rank"))
+    mixed = joined.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select(F.col("key").alias("_key"))
+    return cut(joined.join(mixed, F.col("key") == F.col("_key")).select("key", "words", "n", "root", "rank"))
+
+
 def buckets(rows: DataFrame) -> DataFrame:
     """rows of signatures -> (key, words, n) without repeats, for keys that several texts share.
 
@@ -237,8 +264,10 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     within 2 bits (ball hashing), or if a sample of theirs has the same SimHash; balls alone
     find only texts that are almost equal, as a similarity of 0.8 comes to some 10 bits.
     Candidates link if the exact Jaccard similarity of all their distinct shingles is
-    ``similarity`` or more. In each bucket every text meets
-    the least one, unless their sizes alone rule the similarity out. Null and empty texts are copies of each other; repeated rows and null ids are
+    ``similarity`` or more. Every text of a bucket first meets the least one, then the one
+    of most links so far, as the original of edited copies is; this joins most groups by
+    pairs that grow with the rows. At last all pairs of a bucket that are still in different
+    groups meet. Only pairs whose sizes or parity bits rule the similarity out are left out. Null and empty texts are copies of each other; repeated rows and null ids are
     as in simhash_groups().
     """
     rows = cut(signatures(docs, id_col, text_col, width))
@@ -246,9 +275,21 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     members = cut(buckets(rows))
     sets = cut(shingle_sets(docs, members.select("words").distinct(), text_col, width))
     fits = lambda x, y: (x == y) | (F.least(x, y) / F.greatest(x, y) >= similarity)
-    heads = members.groupBy("key").agg(F.min(F.struct("words", "n")).alias("head")).select(F.col("key").alias("_key"), "head")
-    met = members.join(heads, F.col("key") == F.col("_key")).where(F.col("words") != F.col("head.words")).where(fits(F.col("n"), F.col("head.n")))
-    roots = cut(components(_alike(cut(met.select(F.col("words").alias("a"), F.col("head.words").alias("b")).distinct()), sets, similarity)))
+    left, links, roots = members.select("*", F.col("words").alias("root"), F.lit(0).alias("rank")), None, None
+    for _ in range(HEADS):
+        heads = left.groupBy("key").agg(F.min(F.struct("rank", "words", "n", "root")).alias("head")).select(F.col("key").alias("_key"), "head")
+        led = left.join(heads, F.col("key") == F.col("_key")).where(F.col("words") != F.col("head.words"))
+        met = led.where(F.col("root") != F.col("head.root")).where(fits(F.col("n"), F.col("head.n")))
+        more = _alike(cut(met.select(F.col("words").alias("a"), F.col("head.words").alias("b")).distinct()), sets, similarity)
+        links = links.union(more) if links else more
+        roots = cut(components(_edges(roots, more)))
+        left = _left(led.select("key", "words", "n"), roots, links)
+    left = left.join(sets.select("words", "parity"), "words").select("key", "words", "n", "root", "parity")
+    other = left.select(*[F.col(c).alias(f"{c}_b") for c in left.columns])
+    able = most_alike(F.col("n"), F.col("parity"), F.col("n_b"), F.col("parity_b")) >= similarity
+    apart = left.join(other, (F.col("key") == F.col("key_b")) & (F.col("root") < F.col("root_b")) & fits(F.col("n"), F.col("n_b")) & able)
+    more = _alike(cut(apart.select(F.col("words").alias("a"), F.col("words_b").alias("b")).distinct()), sets, similarity)
+    roots = cut(components(_edges(roots, more)))
     first = rows.groupBy("words").agg(F.min("id").alias("least"))
     held = first.join(roots, F.col("words") == F.col("node"), "left").select("words", "least", F.coalesce("root", "words").alias("root"))
     of_root = held.groupBy("root").agg(F.min("least").alias("component"))

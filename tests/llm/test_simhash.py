@@ -122,6 +122,16 @@ def spread(words, n, at, mark):
     return " ".join(own)
 
 
+def test_edited_copies_meet_their_original_of_the_greatest_id(spark):
+    rnd = random.Random(7)
+    words = [f"w{i}" for i in range(600)]
+    texts = [near(words, 9, rnd) for _ in range(60)] + [" ".join(words)]
+    want = exact_groups(texts)
+    assert set(want.values()) == {0} and len(set(exact_groups(texts[:-1]).values())) > 30
+    got = S.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    assert {r["id"]: r["component"] for r in got} == want
+
+
 def test_long_texts_are_decided_on_all_shingles(spark):
     texts = []
     for k in range(12):  # 1,996 shingles: 0.801 with 44 words replaced, 0.797 with 45
@@ -133,6 +143,19 @@ def test_long_texts_are_decided_on_all_shingles(spark):
     assert {r["id"]: r["component"] for r in got} == want
 
 
+def test_bound_of_likeness_is_never_less(spark):
+    rnd = random.Random(8)
+    words = [f"w{i}" for i in range(900)]
+    docs = spark.createDataFrame([(near(words[:n], n // e, rnd),) for n in (6, 40, 300, 900) for e in (4, 9, 30, 90) for _ in range(2)], "text string")
+    asked = S.signatures(docs.selectExpr("1 as doc_id", "text"), "doc_id", "text", 5).select("words").distinct()
+    a = S.shingle_sets(docs, asked, "text", 5)
+    b = a.toDF("words_b", "shingles_b", "parity_b")
+    c = S.F.col
+    bound = S.most_alike(S.F.size("shingles"), c("parity"), S.F.size("shingles_b"), c("parity_b"))
+    rows = a.crossJoin(b).select(S.likeness(c("shingles"), c("shingles_b")), bound).collect()
+    assert len(rows) == asked.count() ** 2 and all(x <= y <= 1 for x, y in rows) and any(y < 0.8 for _, y in rows)
+
+
 def test_empty_table(spark, empty):
     assert S.simhash_groups(empty).count() == 0
     assert S.keep_one(empty).count() == 0
