@@ -13,13 +13,19 @@ from .common import table
 
 #: Candidates: an assigned value, a key of a known form, a private key, or a long run with a digit.
 NAMES = r"passwords?|passwd|pwd|passphrase|secrets?|tokens?|api[_-]?keys?|access[_-]?keys?|private[_-]?keys?|auth|credentials?"
-ASSIGNED = rf"(?i:\b(?:[a-z0-9]{{1,20}}[_-])?(?:{NAMES})\b[\"']?[ \t]{{0,3}}[=:][ \t]{{0,3}}[\"']?[^\s\"'<>,;()]{{6,}}+)"
+#: A keyword between the segments of a name, or where a capital starts one (``clientSecret``).
+KEYWORD = rf"(?:(?<![A-Za-z0-9])|(?-i:(?<=[a-z0-9])(?=[A-Z])))(?:{NAMES})(?![A-Za-z0-9])"
+SIGN = r"[\"']?[ \t]{0,3}[=:][ \t]{0,3}[\"']?"
+#: Each run of name characters is looked at once, however many segments it has.
+NAME = rf"(?=[A-Za-z0-9_-]++{SIGN})(?=[A-Za-z0-9_-]*?{KEYWORD})[A-Za-z0-9_-]++"
+ASSIGNED = rf"(?i:(?<![A-Za-z0-9_-]){NAME}{SIGN}[^\s\"'<>,;()]{{6,}}+)"
 KNOWN = r"\bAKIA[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36,}+|\beyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{4,}+|\bxox[abprs]-[A-Za-z0-9-]{10,}+"
-PEM = r"-----BEGIN (?:[A-Z]{1,20} ){0,4}PRIVATE KEY-----(?:[^-]*+-----END (?:[A-Z]{1,20} ){0,4}PRIVATE KEY-----)?"
+#: A private key up to its END line, headers included, unless another block begins before it.
+PEM = r"-----BEGIN (?:[A-Z]{1,20} ){0,4}PRIVATE KEY-----(?:(?:[^-]++|-(?!----(?:BEGIN|END) ))*+-----END (?:[A-Z]{1,20} ){0,4}PRIVATE KEY-----)?"
 RUN = r"\b(?=[A-Za-z_]{0,40}[0-9])[A-Za-z0-9_]{24,}+\b"
 CANDIDATE = f"{PEM}|{ASSIGNED}|{KNOWN}|{RUN}"
 #: The value within a candidate: what follows the sign of an assignment, else all of it.
-VALUE = rf"(?is)^(?:(?:[a-z0-9]{{1,20}}[_-])?(?:{NAMES})[\"']?[ \t]{{0,3}}[=:][ \t]{{0,3}}[\"']?)?(.*)$"
+VALUE = rf"(?is)^(?:{NAME}{SIGN})?(.*)$"
 
 # Words that make a value look written by hand.
 WORDS = (
@@ -29,7 +35,7 @@ WORDS = (
     "dog cat red green blue summer winter monday sunday master root guest server client local host home work data file path"
 ).split()
 WORD = "(?i)" + "|".join(sorted(WORDS, key=lambda w: (-len(w), w)))
-NEAR_SECRET, NEAR_HASH = rf"(?i)\b(?:{NAMES})\b", r"(?i)\b(?:commit|sha-?\d*|md5|digest|checksum|hash|etag|revision|uuid|guid|build|version|isbn|serial)\b"
+NEAR_SECRET, NEAR_HASH = rf"(?i){KEYWORD}", r"(?i)\b(?:commit|sha-?\d*|md5|digest|checksum|hash|etag|revision|uuid|guid|build|version|isbn|serial)\b"
 TEST_PATH = r"(?i)(?:^|[^a-z])(?:tests?|examples?|samples?|fixtures?|mocks?|docs?|demo|tutorial)(?:[^a-z]|$)"
 
 FEATURES = ["n_chars", "digits", "upper", "lower", "marks", "changes", "distinct", "longest_run", "dictionary", "test_path", "assigned", "known_form", "near_secret", "near_hash", "near_example"]
