@@ -191,10 +191,15 @@ def trained(docs: DataFrame) -> Model | None:
 
 
 def known_language(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs without the documents of no language (``und``); all columns stay. A doc_id goes if none of its rows has one."""
+    """docs without the documents of no language (``und``); all columns stay. A doc_id goes if none of its rows has one.
+
+    Without a model nothing tells languages apart, and every text with a letter stays.
+    """
+    lettered = docs.where(F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}"))
+    if model is None:
+        return lettered
     good = identify(docs, model).where(F.col("lang_pred") != UNKNOWN).select(F.col("doc_id").alias("_id")).distinct()
-    has_letter = F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}")
-    return docs.where(has_letter).join(good, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
+    return lettered.join(good, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,3 +76,10 @@ def test_stage_and_empty_table(spark, empty):
     df = spark.createDataFrame([(1, "the and thering", "en"), (2, "12", "en"), (3, None, "en"), (4, "le eau", "fr"), (None, "the", "en")], "doc_id bigint, text string, lang string")
     kept = langid.known_language(df, langid.fit(texts(5, 13)))
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "4", "None"]
+
+
+def test_stage_without_labels_keeps_lettered_documents(spark, documents):
+    docs = documents.withColumn("lang", F.lit(None).cast("string"))
+    model = langid.trained(docs)
+    kept = [r["text"] for r in langid.known_language(docs, model).collect()]
+    assert model is None and sorted(kept) == sorted(r["text"] for r in docs.collect() if any(c.isalpha() for c in r["text"] or ""))
