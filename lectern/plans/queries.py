@@ -325,7 +325,7 @@ m as (select book_id, doc_id, unnest([('figure', f, 4), ('figure', '3.1', 16), (
 @query(f"with {MENTIONED} select book_id, doc_id, r[1] as kind, r[2] as identifier, cast(r[3] as integer) as start from m")
 def references_found(spark, sf_dir):
     found = navigation.find_references(_mentions(spark, sf_dir))
-    return found.where("start < 60").select("book_id", "doc_id", "kind", "identifier", "start")
+    return found.select("book_id", "doc_id", "kind", "identifier", "start")
 
 
 def _resolved(spark, sf_dir):
@@ -335,7 +335,7 @@ def _resolved(spark, sf_dir):
     captions = docs.where("doc_id % 60 = 7").select("book_id", F.lit("7").alias("identifier"), page)
     headings = docs.where("doc_id % 100 = 4").select("book_id", F.lit("Chapter 4").alias("title"), F.lit(2).alias("depth"), page)
     printed = docs.where("doc_id % 50 = doc_id % 400").select("book_id", (F.col("doc_id") % 50).cast("string").alias("printed"), page)
-    return navigation.resolve(navigation.find_references(_mentions(spark, sf_dir)).where("start < 60"), navigation.targets(figures, captions, headings, printed))
+    return navigation.resolve(navigation.find_references(_mentions(spark, sf_dir)), navigation.targets(figures, captions, headings, printed))
 
 
 RESOLVED = f"""{MENTIONED},

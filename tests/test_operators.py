@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.vectors import top_k
 from lectern.operators import answers, evaluation, labels, navigation, passages, quality, retrieval, store
+from lectern.plans import queries
 
 
 def rows(df, *columns):
@@ -120,6 +121,17 @@ def test_references(text, found):
     assert [r[2:] for r in navigation.find_in(text)] == found
 
 
+def test_references_are_found_in_whole_texts(spark, tmp_path):
+    texts = ["x " * 40 + "see p. 12 and Figure 3.1", "none", None]
+    docs = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    said = {r["doc_id"]: r["text"] for r in queries._mentions(spark, str(tmp_path)).collect()}
+    want = sorted((i, kind, name, start) for i, t in said.items() for start, _, kind, name in navigation.find_in(t))
+    assert rows(queries.references_found(spark, str(tmp_path)), "doc_id", "kind", "identifier", "start") == want
+    assert [w[1:3] for w in want if w[3] >= 60] == [("figure", "3.1"), ("page", "12")]
+    assert rows(queries._resolved(spark, str(tmp_path)), "doc_id", "kind", "identifier", "start") == want
+
+
 def test_resolution_needs_one_target(spark):
     refs = navigation.find_references(spark.createDataFrame([("b", "Fig. 1.1 Fig. 2 page 12"), ("b", None)], "book_id string, text string"))
     figures = spark.createDataFrame([("b", "1-1", 3, "f1"), ("b", "2", 4, "f2"), ("b", "2", 5, "f3")], "book_id string, identifier string, page int, figure_id string")
