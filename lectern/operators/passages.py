@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import SENTENCE_END, format_number, margin_key
+from ..functions.text import SENTENCE_END, excluded_section, format_number, margin_key
 
 CANDIDATES = "array<struct<kind:string,value:int,text:string>>"
 
@@ -101,9 +101,15 @@ def join_across_pages(passages: DataFrame, hidden: DataFrame | None = None) -> D
 
 
 def breadcrumbs(pages: DataFrame) -> DataFrame:
-    """pages (book_id, pdf_page, path) -> the last path seen, carried over pages without one; excluded paths show as empty but are carried."""
+    """pages (book_id, pdf_page, path) -> the last path seen, carried over pages without one; excluded paths show as empty but are carried.
+
+    A path is an array of titles, or a string that is one title.
+    """
     w = Window.partitionBy("book_id").orderBy("pdf_page").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return pages.withColumn("path", F.last("path", ignorenulls=True).over(w))
+    carried = pages.withColumn("path", F.last("path", ignorenulls=True).over(w))
+    listed = pages.schema["path"].dataType.typeName() == "array"
+    titles, none = (F.col("path"), F.slice("path", 1, 0)) if listed else (F.array("path"), F.lit(""))
+    return carried.withColumn("path", F.when(excluded_section(titles), none).otherwise(F.col("path")))
 
 
 def path_prefixes(paths: DataFrame) -> DataFrame:

@@ -132,6 +132,14 @@ def test_references_are_found_in_whole_texts(spark, tmp_path):
     assert rows(queries._resolved(spark, str(tmp_path)), "doc_id", "kind", "identifier", "start") == want
 
 
+def test_excluded_paths_show_as_empty_but_are_carried(spark):
+    paths = [("b", 1, ["x"]), ("b", 2, ["x", "Index"]), ("b", 3, None), ("b", 4, ["y"])]
+    got = passages.breadcrumbs(spark.createDataFrame(paths, "book_id string, pdf_page int, path array<string>"))
+    assert [r["path"] for r in got.orderBy("pdf_page").collect()] == [["x"], [], [], ["y"]]
+    flat = spark.createDataFrame([("b", 1, "x"), ("b", 2, " Contents "), ("b", 3, None)], "book_id string, pdf_page int, path string")
+    assert [r["path"] for r in passages.breadcrumbs(flat).orderBy("pdf_page").collect()] == ["x", "", ""]
+
+
 def test_resolution_needs_one_target(spark):
     refs = navigation.find_references(spark.createDataFrame([("b", "Fig. 1.1 Fig. 2 page 12"), ("b", None)], "book_id string, text string"))
     figures = spark.createDataFrame([("b", "1-1", 3, "f1"), ("b", "2", 4, "f2"), ("b", "2", 5, "f3")], "book_id string, identifier string, page int, figure_id string")
