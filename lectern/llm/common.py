@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,3 +40,12 @@ def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder; its lineage ends there."""
     shared(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def handed_over(df: DataFrame, name: str) -> DataFrame:
+    """df, written as Parquet under the shared checkpoint folder and read back; the files stay there."""
+    spark = df.sparkSession
+    shared(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stages-{uuid.uuid4().hex}/{name}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

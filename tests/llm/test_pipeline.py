@@ -28,6 +28,15 @@ def test_all_but_the_last_stage_return_the_columns_of_documents(spark, documents
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_dedup", "decontamination", "secret_scan", "sentencepiece"]
 
 
+def test_stages_hand_over_parquet(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(1, "a"), (2, None)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(n, lambda s, d, _: d.where("doc_id > 0")) for n in ("first", "second")])
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert sorted(r["doc_id"] for r in out.collect()) == [1, 2]
+    files = out.inputFiles()
+    assert files and all(f.endswith(".parquet") and "/first/" in f for f in files)
+
+
 def test_stages_on_an_empty_table(spark, empty, tmp_path):
     spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     for _, stage in corpus_pipeline.STAGES:
