@@ -26,14 +26,14 @@ def test_kernel_equals_the_plain_version():
     a, b = texts(1, 4)[0][0], texts(1, 5)[1][0]
     grams = lambda t: {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
     plain = lambda t: grams(" " + " ".join(t.split()) + " ")
-    own = lambda t: set(langid.grams(t, model.code, model.size, model.offsets).tolist())
+    own = lambda t: set(langid.grams(t, model.code, model.size).tolist())
     assert (len(own(a)), len(own(b)), len(own(a) & own(b))) == (len(plain(a)), len(plain(b)), len(plain(a) & plain(b)))
 
 
 def test_model_is_the_same_for_any_order():
     rows = texts(20, 6)
     one, two = langid.fit(rows), langid.fit(rows[::-1] + rows[:5])
-    assert one.langs == two.langs and np.array_equal(one.weights, two.weights)
+    assert one.langs == two.langs and np.allclose(one.weights, two.weights)
 
 
 def test_texts_without_letters_are_unknown():
@@ -83,3 +83,47 @@ def test_stage_without_labels_keeps_lettered_documents(spark, documents):
     model = langid.trained(docs)
     kept = [r["text"] for r in langid.known_language(docs, model).collect()]
     assert model is None and sorted(kept) == sorted(r["text"] for r in docs.collect() if any(c.isalpha() for c in r["text"] or ""))
+
+
+def test_scores_equal_plain_kernel_ridge_regression():
+    rows = texts(8, 20)
+    model = langid.fit(rows)
+    rows = sorted(set(rows), key=lambda r: (r[1], r[0]))
+    grams = [{t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)} for t in (" " + " ".join(t.split()) + " " for t, _ in rows)]
+    test = texts(4, 21)
+    own = [{t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)} for t in (" " + " ".join(t.split()) + " " for t, _ in test)]
+    kernel = lambda x, y: np.array([[len(a & b) / (len(a) * len(b)) ** 0.5 for b in y] for a in x])
+    # All rows are landmarks here, so that the plain dual solution with weights must come out.
+    target = np.array([[float(g == r[1]) for g in model.langs] for r in rows])
+    weight = 1 / target.sum(0)[[model.langs.index(r[1]) for r in rows]]
+    dual = np.linalg.solve(kernel(grams, grams) + langid.RIDGE * np.diag(1 / weight), target)
+    want = kernel(own, grams) @ dual
+    langs, scores = langid.predict([t for t, _ in test], model)
+    assert langs == [model.langs[k] for k in want.argmax(1)]
+    assert np.allclose(scores, np.clip(want.max(1), 0, 1), atol=1e-3)
+
+
+def test_every_language_is_learned_however_many_and_long(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_CHARS", 90 * 1500)
+    rnd = random.Random(22)
+    own = {f"l{k:02}": [chr(0x4E00 + 40 * k + i) for i in range(40)] for k in range(90)}  # as many scripts, 3,600 letters
+    made = lambda g, n: "".join(rnd.choice(own[g]) for _ in range(n))
+    rows = [(g, made(g, 5000)) for g in own for _ in range(3 if g < "l45" else 12)] + [(g, made(g, 900)) for g in own if g > "l10"]
+    docs = spark.createDataFrame([(3 * i, t, g) for i, (g, t) in enumerate(rows)], "doc_id bigint, text string, lang string")
+    docs = docs.where(~langid.held_out())
+    found = langid.sample(docs)
+    learned = {g for _, g in found}
+    assert learned == {r[0] for r in docs.select("lang").distinct().collect()} and len(learned) > 64
+    model = langid.fit(found)
+    test = [(made(g, 60), g) for g in sorted(learned)]
+    assert [g for _, g in test] == langid.predict([t for t, _ in test], model)[0]
+
+
+def test_a_wrong_language_goes_and_nothing_is_shuffled(spark):
+    model = langid.fit(texts(20, 23))
+    rows = [(i, t, g, 1, "x") for i, (t, g) in enumerate(texts(5, 24))] + [(90, "Ωμέγα και άλφα", None, 2, "x"), (91, "日本語の文章", None, 3, "x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, _id int, lang_pred string")
+    stage = langid.known_language(docs, model, ("en", "fr"))
+    assert sorted(r["doc_id"] for r in stage.collect()) == [i for i, _, g, *_ in rows if g in ("en", "fr")]
+    assert sorted(r["doc_id"] for r in langid.known_language(docs, model).collect()) == list(range(15))
+    assert stage.columns == docs.columns and "Exchange" not in stage._jdf.queryExecution().toString()
