@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: A-Z only, unlike lower(): contracts on words fold ASCII letters alone.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Ids that may be broadcast to drop rows; more are joined by shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def ascii_lower(text: Column) -> Column:
@@ -20,32 +23,62 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared(spark: SparkSession) -> None:
-    """Make checkpoint() write to the folder that the cluster shares.
+def unused(name: str, df: DataFrame) -> str:
+    """name, with underscores put before it until df has no such column (Spark doesn't tell cases apart)."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name = f"_{name}"
+    return name
 
-    The folder is the session's ``spark.checkpoint.dir``. Where that is unset, a local
-    session gets a temporary folder, and a cluster is an error: executors don't see
-    each other's disks.
+
+def shared(spark: SparkSession) -> str:
+    """The folder that the cluster shares: ``spark.checkpoint.dir``, or the context's checkpoint folder.
+
+    Where both are unset, a local session gets a temporary folder, and a cluster is an
+    error: executors don't see each other's disks.
     """
-    if spark.conf.get("spark.checkpoint.dir", None):
-        return
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        return
-    if not spark.sparkContext.master.startswith("local["):
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if held.isDefined():
+        return held.get()
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lectern-checkpoint-"))
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, written as Parquet to a new folder of the shared one and read back: its lineage ends there."""
+    spark = df.sparkSession
+    path = f"{shared(spark)}/lectern-{uuid.uuid4().hex}/{name}"
+    df.write.parquet(path)
+    held = spark.read.schema(df.schema).parquet(path)
+    held.written_to = path
+    return held
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder; its lineage ends there."""
-    shared(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df, computed once and kept in the shared folder; release() removes it."""
+    return written(df, "step")
 
 
-def handed_over(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet under the shared checkpoint folder and read back; the files stay there."""
-    spark = df.sparkSession
-    shared(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stages-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def release(*frames: DataFrame | None) -> None:
+    """Remove what cut() or written() wrote for these; only when nothing lazy reads it any more."""
+    for df in frames:
+        if path := getattr(df, "written_to", None):
+            jvm = df.sparkSession.sparkContext._jvm
+            folder = jvm.org.apache.hadoop.fs.Path(path).getParent()
+            folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs without the rows whose id is among ids (one column); a null id equals a null.
+
+    The ids are broadcast if they are counted to be BROADCAST_IDS at most, so that no text
+    is shuffled; beyond that both sides are shuffled by id.
+    """
+    name = unused("_id", docs)
+    ids = ids.toDF(name).distinct()
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, docs[id_col].eqNullSafe(F.col(name)), "left_anti")

@@ -10,12 +10,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, release, table, without_ids
 from .components import components
 
 BITS = 64
 #: Shingles whose bits are added up at once; bounds the memory that a long text takes.
 AT_ONCE = 1 << 16
+#: Fingerprints that one task writes out as 65 variants each.
+FANNED = 20_000
+#: A key of more rows than this and than a HOT_SHARE-th of all is hot. There are HOT_SHARE hot keys at most.
+HOT_ROWS, HOT_SHARE = 256, 200
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -79,13 +83,13 @@ def fingerprint_links(distinct: DataFrame, distance: int = 2) -> DataFrame:
     Two values within 2 bits share a value that is within 1 bit of both. A value has 65
     others within 1 bit, itself included, so no bucket is larger, whatever the input. All
     of a bucket lie within 2 bits of each other; each is linked to the least, which keeps
-    every component without writing out the pairs.
+    every component without writing out the pairs. A null fingerprint has no links.
     """
     if distance not in (0, 1, 2):
         raise ValueError("distance is 0, 1 or 2")
     if distance == 0:
         return distinct.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
-    variants = distinct.select("fp", F.explode(ball(F.col("fp"), 1)).alias("variant"))
+    variants = distinct.where("fp is not null").select("fp", F.explode(ball(F.col("fp"), 1)).alias("variant"))
     buckets = variants.groupBy("variant").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
     return (
         buckets.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b"))
@@ -100,6 +104,24 @@ def fingerprint_links(distinct: DataFrame, distance: int = 2) -> DataFrame:
     )
 
 
+def dealt(rows: DataFrame, n: int) -> DataFrame:
+    """n rows, dealt to tasks of FANNED rows before each is written out as many."""
+    return rows.repartition(1 + n // FANNED)
+
+
+def spread_join(rows: DataFrame, of_key: DataFrame, key: str, other: str) -> DataFrame:
+    """rows (written) joined to of_key where rows.key = of_key.other, so that no key's rows all meet in one task.
+
+    The rows of a hot key stay where they are and the few rows of of_key that they need are broadcast.
+    """
+    hot = F.count("*") > max(HOT_ROWS, rows.count() // HOT_SHARE)
+    often = [r[0] for r in rows.where(F.col(key).isNotNull()).groupBy(key).agg(hot.alias("hot")).where("hot").collect()]
+    if not often:
+        return rows.join(of_key, F.col(key) == F.col(other))
+    near = rows.where(F.col(key).isin(often)).join(F.broadcast(of_key.where(F.col(other).isin(often))), F.col(key) == F.col(other))
+    return near.unionByName(rows.where(~F.col(key).isin(often)).join(of_key.where(~F.col(other).isin(often)), F.col(key) == F.col(other)))
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 2) -> DataFrame:
     """docs -> (id, fp long, component): the least id that links of ``distance`` bits reach, itself included.
 
@@ -107,24 +129,27 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     a group of copies costs one fingerprint, however large it is. Null and empty texts
     have fingerprint 0 and are linked like any other. Rows with a null id keep their
     fingerprint and get the component of its group (null where all ids are null);
-    repeated rows are returned as often as they come; an empty table gives no rows.
+    repeated rows are returned as often as they come; an empty table gives no rows; columns
+    other than the two are not read.
     """
     prints = cut(fingerprints(docs, id_col, text_col, width))
-    least = prints.groupBy("fp").agg(F.min("id").alias("least"))
-    roots = cut(components(fingerprint_links(least.select("fp"), distance)))
+    least = cut(prints.groupBy("fp").agg(F.min("id").alias("least")))
+    roots = components(fingerprint_links(dealt(least.select("fp"), least.count()), distance))
     held = least.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     of_root = held.groupBy("root").agg(F.min("least").alias("component"))
     named = held.join(of_root, "root").select(F.col("fp").alias("_fp"), "component")
-    return prints.join(named, F.col("fp") == F.col("_fp")).select("id", "fp", "component")
+    return spread_join(prints, named, "fp", "_fp").select("id", "fp", "component")
 
 
 #: Consistent samples of a text's shingles that get a SimHash of their own, and the shingles of a sample.
 SAMPLES, SAMPLE_SIZE = 16, 4
 #: Bits of the filter of wanted texts for each of them, and the most bits; others that pass it are dropped by a join.
 BITS_EACH, MOST_BITS = 16, 1 << 27
+#: Counters of shingles by hash; they only order the shingles of a text, the rare ones first.
+SLOTS = 1 << 18
 #: Parity bits of a text's distinct shingles: two texts differ in at least as many shingles as bits.
 PARITY = 1_024
-#: Rounds in which a text meets one other of its bucket, before all that are still apart meet.
+#: Rounds in which a text meets one other of its bucket, before those that are still apart meet on their rare shingles.
 HEADS = 2
 #: Rows of signatures that a worker holds.
 ROWS_AT_ONCE = 1_024
@@ -206,7 +231,8 @@ def shingle_sets(docs: DataFrame, asked: DataFrame, text_col: str, width: int) -
             yield pa.RecordBatch.from_arrays([pa.array(np.array(whole, np.uint64).view(np.int64)), _lists(sets), _lists(parity)], names=["words", "shingles", "parity"])
 
     every = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "words long, shingles array<long>, parity array<long>")
-    return every.join(asked, "words", "left_semi").groupBy("words").agg(F.first("shingles").alias("shingles"), F.first("parity").alias("parity"))
+    # Copies are put together before the shuffle: grouping by all columns keeps one row of each in every task.
+    return every.groupBy("words", "shingles", "parity").agg(F.lit(1).alias("_")).drop("_").join(asked, "words", "left_semi")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -223,11 +249,65 @@ def most_alike(n: Column, parity: Column, n_b: Column, parity_b: Column) -> Colu
     return F.coalesce(F.try_divide(both, n + n_b - both), F.lit(1.0))
 
 
+def prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """sets (words, root, shingles) -> (token, words, root, n, pos, short): the rarest shingles of each text.
+
+    Of two texts as similar as asked, the larger one's first n - ceil(s n) + 1 shingles and
+    the smaller one's first n - ceil(2 s / (1 + s) n) + 1 (``short``) have one in common, in
+    any order that all texts share. Here that is by how often a shingle comes, so that what
+    many texts have in common brings none of them together.
+    """
+    slots = sets.select(F.explode("shingles").alias("s")).groupBy(F.col("s").bitwiseAND(F.lit(SLOTS - 1)).cast("int").alias("slot")).count().toArrow()
+    counts = np.zeros(SLOTS, np.int64)
+    counts[slots["slot"].to_numpy()] = slots["count"].to_numpy()
+    sent = sets.sparkSession.sparkContext.broadcast(counts)
+    least = lambda n, share: n - np.ceil(share * n - 1e-6).astype(np.int64) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(2)
+            flat = own.flatten().to_numpy(zero_copy_only=False)
+            n = np.diff(own.offsets.to_numpy())
+            row = np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((flat, sent.value[flat & (SLOTS - 1)], row))
+            pos = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+            kept = pos < least(n, similarity)[row]
+            row, pos, token = row[kept], pos[kept], flat[order][kept]
+            short = pos < least(n, 2 * similarity / (1 + similarity))[row]
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(token), batch.column(0).take(at), batch.column(1).take(at), pa.array(n[row].astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(short)],
+                names=["token", "words", "root", "n", "pos", "short"],
+            )
+
+    return sets.select("words", "root", "shingles").mapInArrow(run, "token long, words long, root long, n int, pos int, short boolean")
+
+
+def apart(sets: DataFrame, similarity: float) -> DataFrame:
+    """sets (words, root, shingles, parity) -> pairs (a, b) of different roots that may have the similarity: all that do are among them."""
+    tokens = cut(prefixes(sets, similarity))
+    other = tokens.where("short").select(*[F.col(c).alias(f"{c}_b") for c in tokens.columns])
+    c = F.col
+    larger = (c("n") > c("n_b")) | ((c("n") == c("n_b")) & (c("words") > c("words_b")))
+    most = 1 + F.least(c("n") - c("pos"), c("n_b") - c("pos_b")) - 1  # shingles in common, if this is the first
+    able = most * (1 + similarity) + 1e-6 >= similarity * (c("n") + c("n_b"))
+    met = tokens.join(other, (c("token") == c("token_b")) & (c("root") != c("root_b")) & larger & able)
+    pairs = cut(met.select(c("words").alias("a"), c("words_b").alias("b")).distinct())
+    side = lambda s: sets.select(c("words").alias("_w"), F.size("shingles").alias(f"_n{s}"), c("parity").alias(f"_p{s}"))
+    one = cut(spread_join(pairs, side("a"), "a", "_w").drop("_w"))
+    bound = most_alike(c("_na"), c("_pa"), c("_nb"), c("_pb"))
+    found = cut(spread_join(one, side("b"), "b", "_w").where(bound >= similarity).select("a", "b"))
+    release(tokens, pairs, one)
+    return found
+
+
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets of shingles have the similarity."""
-    one = pairs.join(sets.select(F.col("words").alias("a"), F.col("shingles").alias("_a")), "a")
-    both = one.join(sets.select(F.col("words").alias("b"), F.col("shingles").alias("_b")), "b")
-    return cut(both.where(likeness(F.col("_a"), F.col("_b")) >= similarity).select("a", "b"))
+    """The pairs (a, b; written) whose sets of shingles have the similarity."""
+    one = cut(spread_join(pairs, sets.select(F.col("words").alias("_w"), F.col("shingles").alias("_a")), "a", "_w").drop("_w"))
+    both = spread_join(one, sets.select(F.col("words").alias("_w"), F.col("shingles").alias("_b")), "b", "_w")
+    found = cut(both.where(likeness(F.col("_a"), F.col("_b")) >= similarity).select("a", "b"))
+    release(one)
+    return found
 
 
 def _edges(roots: DataFrame | None, more: DataFrame) -> DataFrame:
@@ -238,23 +318,56 @@ def _left(members: DataFrame, roots: DataFrame, links: DataFrame) -> DataFrame:
     """The members (key, words, n) of keys of several groups, with root and rank: the texts of most links come first."""
     rank = links.select(F.col("a").alias("_w")).union(links.select("b")).groupBy("_w").agg((-F.count("*")).cast("int").alias("rank"))
     joined = members.join(roots, F.col("words") == F.col("node"), "left").join(rank, F.col("words") == F.col("_w"), "left")
-    joined = joined.select("key", "words", "n", F.coalesce("root", "words").alias("root"), F.coalesce("rank", F.lit(0)).alias("rank"))
+    joined = cut(joined.select("key", "words", "n", F.coalesce("root", "words").alias("root"), F.coalesce("rank", F.lit(0)).alias("rank")))
     mixed = joined.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select(F.col("key").alias("_key"))
-    return cut(joined.join(mixed, F.col("key") == F.col("_key")).select("key", "words", "n", "root", "rank"))
+    found = cut(spread_join(joined, mixed, "key", "_key").select("key", "words", "n", "root", "rank"))
+    release(joined)
+    return found
 
 
-def buckets(rows: DataFrame) -> DataFrame:
-    """rows of signatures -> (key, words, n) without repeats, for keys that several texts share.
+def buckets(texts: DataFrame) -> DataFrame:
+    """texts (words, fp, samples, n; written, words without repeats) -> (key, words, n) for keys that several texts share.
 
     A key is a sample's SimHash, or a value within one bit of the fingerprint.
     """
-    prints = rows.select("fp").distinct()
-    near = prints.select("fp", F.explode(ball(F.col("fp"), 1)).alias("key")).groupBy("key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
+    prints = cut(texts.select("fp").distinct())
+    balls = dealt(prints, prints.count()).select("fp", F.explode(ball(F.col("fp"), 1)).alias("key"))
+    near = balls.groupBy("key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
     keys = near.select("key", F.explode("fps").alias("_fp")).union(prints.select("fp", "fp")).distinct()
-    of_ball = rows.select("words", "n", "fp").distinct().join(keys, F.col("fp") == F.col("_fp")).select("key", "words", "n")
-    every = rows.select(F.explode("samples").alias("key"), "words", "n").union(of_ball).distinct()
+    of_ball = spread_join(texts.select("words", "n", "fp"), keys, "fp", "_fp").select("key", "words", "n")
+    every = cut(texts.select(F.explode("samples").alias("key"), "words", "n").union(of_ball).distinct())
     shared_keys = every.groupBy("key").agg(F.min("words").alias("x"), F.max("words").alias("y")).where("x != y").select(F.col("key").alias("_key"))
-    return every.join(shared_keys, F.col("key") == F.col("_key")).select("key", "words", "n")
+    found = cut(spread_join(every, shared_keys, "key", "_key").select("key", "words", "n"))
+    release(prints, every)
+    return found
+
+
+def classes(docs: DataFrame, rows: DataFrame, text_col: str, width: int, similarity: float) -> DataFrame:
+    """docs and their signatures -> (words, component) for each distinct text: the least id of its group."""
+    texts = cut(rows.groupBy("words", "fp", "samples", "n").agg(F.min("id").alias("least")))
+    members = buckets(texts)
+    sets = cut(shingle_sets(docs, members.select("words").distinct(), text_col, width))
+    fits = lambda x, y: (x == y) | (F.least(x, y) / F.greatest(x, y) >= similarity)
+    left, links, roots = cut(members.select("*", F.col("words").alias("root"), F.lit(0).alias("rank"))), None, None
+    release(members)
+    for _ in range(HEADS):
+        heads = left.groupBy("key").agg(F.min(F.struct("rank", "words", "n", "root")).alias("head")).select(F.col("key").alias("_key"), "head")
+        led = cut(spread_join(left, heads, "key", "_key").where(F.col("words") != F.col("head.words")))
+        met = led.where(F.col("root") != F.col("head.root")).where(fits(F.col("n"), F.col("head.n")))
+        pairs = cut(met.select(F.col("words").alias("a"), F.col("head.words").alias("b")).distinct())
+        more = _alike(pairs, sets, similarity)
+        links = links.union(more) if links else more
+        roots, before = cut(components(_edges(roots, more))), (roots, left, pairs, led)
+        left = _left(led.select("key", "words", "n"), roots, links)
+        release(*before)
+    still = left.select(F.col("words").alias("_w"), "root").distinct()
+    pairs = apart(sets.join(still, F.col("words") == F.col("_w")).drop("_w"), similarity)
+    roots = cut(components(_edges(roots, _alike(pairs, sets, similarity))))
+    held = texts.join(roots, F.col("words") == F.col("node"), "left").select("words", "least", F.coalesce("root", "words").alias("root"))
+    of_root = held.groupBy("root").agg(F.min("least").alias("component"))
+    found = cut(held.join(of_root, "root").select("words", "component"))
+    release(texts, sets, left, links, pairs, roots)
+    return found
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -266,48 +379,31 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Candidates link if the exact Jaccard similarity of all their distinct shingles is
     ``similarity`` or more. Every text of a bucket first meets the least one, then the one
     of most links so far, as the original of edited copies is; this joins most groups by
-    pairs that grow with the rows. At last all pairs of a bucket that are still in different
-    groups meet. Only pairs whose sizes or parity bits rule the similarity out are left out. Null and empty texts are copies of each other; repeated rows and null ids are
-    as in simhash_groups().
+    pairs that grow with the rows. Then all texts of buckets that still hold several groups
+    meet those that share a rare shingle with them (see prefixes()), which leaves out no
+    pair that has the similarity. Null and empty texts are copies of each other; repeated
+    rows, null ids, empty tables and other columns are as in simhash_groups().
     """
     rows = cut(signatures(docs, id_col, text_col, width))
-    # Written out, so that the joins below stand on plain exchanges, whose hot keys can be split.
-    members = cut(buckets(rows))
-    sets = cut(shingle_sets(docs, members.select("words").distinct(), text_col, width))
-    fits = lambda x, y: (x == y) | (F.least(x, y) / F.greatest(x, y) >= similarity)
-    left, links, roots = members.select("*", F.col("words").alias("root"), F.lit(0).alias("rank")), None, None
-    for _ in range(HEADS):
-        heads = left.groupBy("key").agg(F.min(F.struct("rank", "words", "n", "root")).alias("head")).select(F.col("key").alias("_key"), "head")
-        led = left.join(heads, F.col("key") == F.col("_key")).where(F.col("words") != F.col("head.words"))
-        met = led.where(F.col("root") != F.col("head.root")).where(fits(F.col("n"), F.col("head.n")))
-        more = _alike(cut(met.select(F.col("words").alias("a"), F.col("head.words").alias("b")).distinct()), sets, similarity)
-        links = links.union(more) if links else more
-        roots = cut(components(_edges(roots, more)))
-        left = _left(led.select("key", "words", "n"), roots, links)
-    left = left.join(sets.select("words", "parity"), "words").select("key", "words", "n", "root", "parity")
-    other = left.select(*[F.col(c).alias(f"{c}_b") for c in left.columns])
-    able = most_alike(F.col("n"), F.col("parity"), F.col("n_b"), F.col("parity_b")) >= similarity
-    apart = left.join(other, (F.col("key") == F.col("key_b")) & (F.col("root") < F.col("root_b")) & fits(F.col("n"), F.col("n_b")) & able)
-    more = _alike(cut(apart.select(F.col("words").alias("a"), F.col("words_b").alias("b")).distinct()), sets, similarity)
-    roots = cut(components(_edges(roots, more)))
-    first = rows.groupBy("words").agg(F.min("id").alias("least"))
-    held = first.join(roots, F.col("words") == F.col("node"), "left").select("words", "least", F.coalesce("root", "words").alias("root"))
-    of_root = held.groupBy("root").agg(F.min("least").alias("component"))
-    group = held.join(of_root, "root").select(F.col("words").alias("_words"), "component")
-    return rows.select("id", "words").join(group, F.col("words") == F.col("_words")).select("id", "component")
+    group = classes(docs, rows, text_col, width, similarity).select(F.col("words").alias("_words"), "component")
+    return spread_join(rows, group, "words", "_words").select("id", "component")
 
 
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs without the documents whose group has a smaller doc_id; all columns stay.
 
-    Rows that repeat the least doc_id of a group are one document and stay together.
+    Rows that repeat the least doc_id of a group are one document and stay together; rows
+    with a null id go unless no row of some group has an id. Groups are those of
+    similar_groups(). Columns that docs has besides doc_id and text may have any name. An
+    empty table gives no rows.
     """
-    groups = similar_groups(docs, width=width, similarity=similarity)
-    stay = groups.where("id <=> component").select(F.col("id").alias("_id")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
+    least = classes(docs, signatures(docs, "doc_id", "text", width), "text", width, similarity).select("component").distinct()
+    gone = docs.select(F.col("doc_id").alias("_id")).distinct().join(least, F.col("_id").eqNullSafe(F.col("component")), "left_anti")
+    return without_ids(docs, gone)
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id of each row of documents; nulls, copies and repeats as in simhash_groups()."""
     groups = simhash_groups(table(spark, sf_dir, "documents"))
     return groups.select(
         F.col("id").alias("doc_id"),

@@ -102,7 +102,7 @@ def test_keep_one_takes_copies_and_near_copies_and_leaves_the_rest(spark):
     assert kept == sorted([0, *range(20), *range(300, 310), 400, 402, 403])
 
 
-def test_likeness_is_exact_for_short_texts(spark):
+def test_likeness_is_exact(spark):
     rows = [([1, 2, 3], [2, 3, 4]), ([], []), ([1], []), (list(range(400)), list(range(100, 500)))]
     got = [r[0] for r in spark.createDataFrame(rows, "a array<int>, b array<int>").select(S.likeness(S.F.col("a"), S.F.col("b"))).collect()]
     assert np.allclose(got, [0.5, 1, 0, 0.6])
