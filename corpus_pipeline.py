@@ -9,7 +9,7 @@ from lectern.llm.common import handed_over, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of some language; null texts and texts without a letter go."""
+    """Documents of one of the languages that the labels name; texts unlike all of them, null texts and texts without a letter go."""
     return langid.known_language(docs, langid.trained(docs))
 
 
