@@ -1,15 +1,19 @@
-"""Secret scans: patterns propose candidates, a random forest removes the false positives."""
+"""Secret scans: patterns propose candidates, a random forest removes the false positives.
+
+The forest is trained by Spark ML and then written as a column expression over arrays of its
+nodes, so that a text is scanned, judged and redacted in one projection, without a shuffle.
+"""
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
+from dataclasses import dataclass
+
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, unused
 
 #: Candidates: an assigned value, a key of a known form, a private key, or a long run with a digit.
 NAMES = r"passwords?|passwd|pwd|passphrase|secrets?|tokens?|api[_-]?keys?|access[_-]?keys?|private[_-]?keys?|auth|credentials?"
@@ -19,10 +23,12 @@ SIGN = r"[\"']?[ \t]{0,3}[=:][ \t]{0,3}[\"']?"
 #: Each run of name characters is looked at once, however many segments it has.
 NAME = rf"(?=[A-Za-z0-9_-]++{SIGN})(?=[A-Za-z0-9_-]*?{KEYWORD})[A-Za-z0-9_-]++"
 ASSIGNED = rf"(?i:(?<![A-Za-z0-9_-]){NAME}{SIGN}[^\s\"'<>,;()]{{6,}}+)"
-KNOWN = r"\bAKIA[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36,}+|\beyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{4,}+|\bxox[abprs]-[A-Za-z0-9-]{10,}+"
+#: Edges of a word, spelled out because \b differs between versions of Java.
+EDGE, STOP = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
+KNOWN = rf"{EDGE}(?:AKIA[0-9A-Z]{{16}}{STOP}|gh[pousr]_[A-Za-z0-9]{{36,}}+|eyJ[A-Za-z0-9_-]{{8,}}+\.[A-Za-z0-9_-]{{8,}}+\.[A-Za-z0-9_-]{{4,}}+|xox[abprs]-[A-Za-z0-9-]{{10,}}+)"
 #: A private key up to its END line, headers included, unless another block begins before it.
 PEM = r"-----BEGIN (?:[A-Z]{1,20} ){0,4}PRIVATE KEY-----(?:(?:[^-]++|-(?!----(?:BEGIN|END) ))*+-----END (?:[A-Z]{1,20} ){0,4}PRIVATE KEY-----)?"
-RUN = r"\b(?=[A-Za-z_]{0,40}[0-9])[A-Za-z0-9_]{24,}+\b"
+RUN = rf"{EDGE}(?=[A-Za-z_]{{0,40}}[0-9])[A-Za-z0-9_]{{24,}}+"
 CANDIDATE = f"{PEM}|{ASSIGNED}|{KNOWN}|{RUN}"
 #: The value within a candidate: what follows the sign of an assignment, else all of it.
 VALUE = rf"(?is)^(?:{NAME}{SIGN})?(.*)$"
@@ -42,84 +48,134 @@ FEATURES = ["n_chars", "digits", "upper", "lower", "marks", "changes", "distinct
 #: Labelled findings made for training where none are given.
 MADE = 2_400
 TREES, DEPTH, SEED = 24, 7, 20
+#: Lengths that are added up at once when places are counted.
+CHUNK = 256
+
+
+def let(value: Column, use) -> Column:
+    """use(value) with the value computed once, however often a lambda inside reads it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _placed(gaps: Column, found: Column, path: Column) -> Column:
+    """array<struct<found, at, value, before, after, path>> of the candidates, from columns of gaps and matches.
+
+    A place is the sum of whole chunks of lengths before it and of the rest, so that the work grows little faster than the hits.
+    """
+    total = lambda x: F.aggregate(x, F.lit(0), lambda s, n: s + n)
+    # The words before a candidate are read from the end of the gap, backwards.
+    before = lambda g: F.reverse(F.regexp_extract(F.reverse(g), r"^\s*+\S*+(?:\s++\S++)?", 0))
+    after = lambda g: F.regexp_extract(g, r"^\W*+(\w++(?:\W++\w++)?)", 1)
+
+    def every(s: Column) -> Column:
+        def one(h: Column, i: Column) -> Column:
+            chunk = F.floor(i / CHUNK).cast("int")
+            at = F.get(s["sums"], chunk) + total(F.slice(s["lengths"], chunk * CHUNK + 1, i - chunk * CHUNK)) + F.length(F.get(s["gaps"], i))
+            return F.struct(h.alias("found"), at.alias("at"), F.regexp_extract(h, VALUE, 1).alias("value"), before(F.get(s["gaps"], i)).alias("before"), after(F.get(s["gaps"], i + 1)).alias("after"), path.alias("path"))
+
+        return F.transform(s["found"], one)
+
+    n_chunks = F.floor(F.size(found) / CHUNK).cast("int")
+    lengths = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, h: F.length(g) + F.length(h))
+    chunks = lambda own: F.transform(F.sequence(F.lit(0), n_chunks), lambda c: total(F.slice(own, c * CHUNK + 1, F.lit(CHUNK))))
+    sums = lambda own: F.transform(own, lambda _, c: total(F.slice(own, F.lit(1), c)))
+    return let(lengths, lambda own: let(chunks(own), lambda c: let(F.struct(gaps.alias("gaps"), found.alias("found"), own.alias("lengths"), sums(c).alias("sums")), every)))
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
-    """docs -> (id, text_hash, start, end, found, value, before, after, path), one row for each candidate of each row.
+    """docs -> (id, start, end, found, value, before, after, path), one row for each candidate of each row.
 
     start and end are code points of the value in the text, end exclusive; before and after
-    are the neighbouring words. Texts are read whole; null and empty texts have none.
+    are the two words around it, however long. Matches don't overlap: of several that start
+    at one place the first kind of CANDIDATE counts, and the scan goes on after it. Texts are
+    read whole; null and empty texts have none; repeated rows have theirs each; other columns
+    are not read.
     """
-    text = F.col("text")
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (F.col(path_col) if path_col else F.lit(None)).cast("string").alias("path"))
-    cut = own.where(text.rlike(CANDIDATE)).select(
-        "id", F.xxhash64("text").alias("text_hash"), "path", F.split(text, CANDIDATE, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(f"({CANDIDATE})"), F.lit(1)).alias("hits")
-    )
-    # split() and regexp_extract_all() find the same matches, so that gaps and hits alternate.
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-    lengths = F.zip_with(F.slice("gaps", 1, F.size("hits")), "hits", lambda g, h: F.struct(F.length(g).alias("g"), F.length(h).alias("h")))
-    starts = F.aggregate(
-        lengths,
-        start,
-        lambda s, x: F.struct((s["at"] + x["g"] + x["h"]).alias("at"), F.concat(s["starts"], F.array(s["at"] + x["g"])).alias("starts")),
-        lambda s: s["starts"],
-    )
-    before = lambda g: F.regexp_extract(g, r"(\S+\s+\S*)\s*$|(\S*)\s*$", 0)
-    near = lambda g: F.substring(g, -60, 60)
-    each = F.transform(
-        "hits",
-        lambda h, i: F.struct(
-            h.alias("found"),
-            F.get("starts", i).alias("at"),
-            before(near(F.get("gaps", i))).alias("before"),
-            F.regexp_extract(F.substring(F.get("gaps", i + 1), 1, 60), r"^\W*(\w+(?:\W+\w+)?)", 1).alias("after"),
-        ),
-    )
-    one = cut.withColumn("starts", starts).select("id", "text_hash", "path", F.explode(each).alias("c")).select("id", "text_hash", "path", "c.*")
-    value = F.regexp_extract("found", VALUE, 1)
-    return one.withColumn("value", value).select(
-        "id",
-        "text_hash",
-        (F.col("at") + F.length("found") - F.length("value")).alias("start"),
-        (F.col("at") + F.length("found")).alias("end"),
-        "found",
-        "value",
-        "before",
-        "after",
-        "path",
-    )
+    cut = own.where(F.col("text").rlike(CANDIDATE)).select("id", "path", *[c.alias(n) for c, n in zip(_split("text"), ("gaps", "found"))])
+    one = cut.select("id", F.explode(_placed(F.col("gaps"), F.col("found"), F.col("path"))).alias("c")).select("id", "c.*")
+    return one.select("id", _start(F.col).alias("start"), _end(F.col).alias("end"), "found", "value", "before", "after", "path")
+
+
+def _split(text: str) -> tuple[Column, Column]:
+    """What stands between the candidates of a text, and the candidates: both find the same matches, so that they alternate."""
+    return F.split(F.col(text), CANDIDATE, -1), F.regexp_extract_all(F.col(text), F.lit(f"({CANDIDATE})"), F.lit(1))
 
 
-def _share(pattern: str) -> Column:
-    return F.length(F.regexp_replace("value", pattern, "")) / F.greatest(F.length("value"), F.lit(1))
+def _end(h) -> Column:
+    return h("at") + F.length(h("found"))
 
 
-def with_features(found: DataFrame) -> DataFrame:
-    """Adds FEATURES, from value, found, before, after and path; nulls count as empty."""
-    kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace("value", "[^A-Za-z0-9]", "_"), "[a-z]", "a"), "[A-Z]", "A"), "[0-9]", "0")
-    runs = F.regexp_replace(kinds, r"(.)\1+", "$1")
-    n = F.greatest(F.length("value"), F.lit(1))
+def _start(h) -> Column:
+    return _end(h) - F.length(h("value"))
+
+
+def features(h) -> Column:
+    """array<double> of FEATURES, from h("value"), h("found"), h("before"), h("after") and h("path"); nulls count as empty."""
+    value, found, before, after = (F.coalesce(h(c), F.lit("")) for c in ("value", "found", "before", "after"))
+    kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(value, "[^A-Za-z0-9]", "_"), "[a-z]", "a"), "[A-Z]", "A"), "[0-9]", "0")
+    n = F.greatest(F.length(value), F.lit(1))
+    share = lambda pattern: F.length(F.regexp_replace(value, pattern, "")) / n
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
-    whole = F.concat_ws(" ", "before", F.substring("found", F.lit(1), F.length("found") - F.length("value")))
-    return found.withColumns(
-        {
-            "n_chars": F.length("value").cast("double"),
-            "digits": _share("[^0-9]"),
-            "upper": _share("[^A-Z]"),
-            "lower": _share("[^a-z]"),
-            "marks": _share("[A-Za-z0-9]"),
-            "changes": (F.length(runs) - 1) / n,
-            "distinct": F.size(F.array_distinct(F.split("value", ""))) / n,
-            "longest_run": (n - F.length(F.regexp_replace("value", r"(.)\1+", "$1"))) / n,
-            "dictionary": (n - F.length(F.regexp_replace("value", WORD, ""))) / n,
-            "test_path": flag(F.col("path").rlike(TEST_PATH)),
-            "assigned": (F.length("found") > F.length("value")).cast("double"),
-            "known_form": flag(F.col("value").rlike(f"^(?:{KNOWN}|{PEM})")),
-            "near_secret": flag(whole.rlike(NEAR_SECRET)),
-            "near_hash": flag(whole.rlike(NEAR_HASH)),
-            "near_example": flag(F.concat_ws(" ", "before", "after").rlike(r"(?i)example|sample|placeholder|dummy|redacted")),
-        }
-    )
+    whole = F.concat_ws(" ", before, F.substring(found, F.lit(1), F.length(found) - F.length(value)))
+    each = {
+        "n_chars": F.length(value).cast("double"),
+        "digits": share("[^0-9]"),
+        "upper": share("[^A-Z]"),
+        "lower": share("[^a-z]"),
+        "marks": share("[A-Za-z0-9]"),
+        "changes": (F.length(F.regexp_replace(kinds, r"(.)\1+", "$1")) - 1) / n,
+        "distinct": F.size(F.array_distinct(F.split(value, ""))) / n,
+        "longest_run": (n - F.length(F.regexp_replace(value, r"(.)\1+", "$1"))) / n,
+        "dictionary": (n - F.length(F.regexp_replace(value, WORD, ""))) / n,
+        "test_path": flag(h("path").rlike(TEST_PATH)),
+        "assigned": (F.length(found) > F.length(value)).cast("double"),
+        "known_form": flag(value.rlike(f"^(?:{KNOWN}|{PEM})")),
+        "near_secret": flag(whole.rlike(NEAR_SECRET)),
+        "near_hash": flag(whole.rlike(NEAR_HASH)),
+        "near_example": flag(F.concat_ws(" ", before, after).rlike(r"(?i)example|sample|placeholder|dummy|redacted")),
+    }
+    return F.array(*[each[name].cast("double") for name in FEATURES])
+
+
+@dataclass
+class Forest:
+    """Nodes of all trees, one after another: a leaf has feature -1 and the share of secrets that it saw."""
+
+    roots: list[int]
+    feature: list[int]
+    threshold: list[float]
+    left: list[int]
+    right: list[int]
+    share: list[float]
+    depth: int
+
+    def score(self, x: Column) -> Column:
+        """Mean over the trees of the share at the leaf that the features x (array<double>) lead to."""
+        listed = lambda own, kind: F.expr(f"array({', '.join(f'{v!r}{kind}' for v in own)})")
+        feature, threshold = listed(self.feature, ""), listed(self.threshold, "D")
+        left, right, share = listed(self.left, ""), listed(self.right, ""), listed(self.share, "D")
+
+        def step(node: Column, _: Column) -> Column:
+            at = F.get(feature, node)
+            return F.when(at < 0, node).when(F.get(x, at) <= F.get(threshold, node), F.get(left, node)).otherwise(F.get(right, node))
+
+        leaf = lambda root: F.aggregate(F.sequence(F.lit(1), F.lit(max(1, self.depth))), root, step)
+        votes = F.transform(listed(self.roots, ""), lambda root: F.get(share, leaf(root)))
+        return F.aggregate(votes, F.lit(0.0), lambda s, v: s + v) / len(self.roots)
+
+
+def judged(placed: Column, forest: Forest, threshold: float) -> Column:
+    """array<struct<found, start, end, value, score, secret>> of placed candidates."""
+    known = F.transform(placed, lambda h: F.struct(h.alias("h"), features(h.getField).alias("x")))
+    scored = F.transform(known, lambda k: F.struct(k["h"].alias("h"), F.round(forest.score(k["x"]), 6).alias("score")))
+    return F.transform(
+        scored,
+        lambda s: F.struct(
+            s["h"]["found"].alias("found"), _start(s["h"].getField).alias("start"), _end(s["h"].getField).alias("end"),
+            s["h"]["value"].alias("value"), s["score"].alias("score"), (s["score"] >= threshold).alias("secret"),
+        ),
+    )
 
 
 def made_findings(spark: SparkSession, n: int = MADE) -> DataFrame:
@@ -134,10 +190,11 @@ def made_findings(spark: SparkSession, n: int = MADE) -> DataFrame:
         "element_at(array('password', 'token', 'secret', 'api_key'), int(id div 12 % 4) + 1) as name",
         "element_at(array('=', ' = \"', ': ', '='), int(id div 48 % 4) + 1) as sign",
         "element_at(array('srv/app', 'src12', 'main.conf', null), int(id div 7 % 4) + 1) as p",
-        "element_at(array('use the', 'anon it', 'we set', 'er and'), int(id div 5 % 4) + 1) as w",
+        "element_at(array('use the', 'we set', 'then run', 'for this'), int(id div 5 % 4) + 1) as w",
         "element_at(array('changeme', 'your_token_here', 'xxxxxxxxxxxx', '************', 'example_password', 'placeholder', 'password123', 'insert_key_here', '${SECRET_VALUE}', 'dummytoken', '1234567890', 'aaaaaaaaaaaaaaaa', 'required', 'none_of_these', 'undefined'), int(id div 12 % 15) + 1) as q",
         "element_at(array('commit', 'sha256 digest', 'md5 checksum', 'uuid', 'revision'), int(id div 12 % 5) + 1) as about",
-        "concat_ws('', transform(sequence(1, 6), i -> element_at(array('ther','ation','ment','erin','ould','ver','ness','ich','eau','cion'), int(conv(substr(sha2(concat(i, id), 256), 1, 4), 16, 10) % 10) + 1))) as words",
+        # Pronounceable words by rule: a consonant and a vowel for each two hex digits.
+        "translate(substr(sha2(concat('w', id), 256), 1, 20), '0123456789abcdef', 'bcdfglmnprstvaei') as words",
     )
     value = F.expr(
         "case k when 0 then substr(h, 1, 14 + int(id div 12 % 8)) when 1 then substr(h, 1, 40) when 2 then concat('AKIA', substr(u, 1, 16)) "
@@ -153,50 +210,67 @@ def made_findings(spark: SparkSession, n: int = MADE) -> DataFrame:
     return rows.select(F.concat(lead, value).alias("found"), value.alias("value"), before.alias("before"), after.alias("after"), path.alias("path"), (F.col("k") < 6).cast("double").alias("label"))
 
 
-def train(labelled: DataFrame) -> PipelineModel:
-    """Forest on labelled findings (found, value, before, after, path, label 0 or 1)."""
-    ready = with_features(labelled.coalesce(1)).select(*FEATURES, "label")
-    forest = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=SEED)
-    vector = VectorAssembler(inputCols=FEATURES, outputCol="features")
-    return PipelineModel([vector, forest.fit(vector.transform(ready))])
+def train(labelled: DataFrame) -> Forest:
+    """Forest on labelled findings (found, value, before, after, path, label 0 or 1), read by one task; repeats weigh as often as they come.
+
+    An empty table is an error, as there is nothing to learn from.
+    """
+    ready = labelled.coalesce(1).select(array_to_vector(features(F.col)).alias("features"), "label")
+    model = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=SEED).fit(ready)
+    own = Forest([], [], [], [], [], [], model.getMaxDepth())
 
+    def add(node) -> int:
+        at = len(own.feature)
+        stats = list(node.impurityStats().stats())
+        for values, value in zip((own.feature, own.threshold, own.left, own.right, own.share), (-1, 0.0, at, at, stats[1] / sum(stats))):
+            values.append(value)
+        if node.subtreeDepth():
+            own.feature[at], own.threshold[at] = node.split().featureIndex(), node.split().threshold()
+            own.left[at], own.right[at] = add(node.leftChild()), add(node.rightChild())
+        return at
 
-def find_secrets(docs: DataFrame, model: PipelineModel | None = None, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
-    """docs -> (id, text_hash, start, end, value, score, secret), one row for each candidate.
+    own.roots += [add(tree._java_obj.rootNode()) for tree in model.trees]
+    return own
+
+
+def find_secrets(docs: DataFrame, forest: Forest | None = None, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
+    """docs -> (id, start, end, value, score, secret), one row for each candidate, found as candidates() does.
 
     ``score`` is the forest's probability that the candidate is a secret. Repeated rows give
-    repeated findings; an empty table gives none. Without a model, one is trained on
-    made_findings().
+    repeated findings; null and empty texts and an empty table give none. Without a forest,
+    one is trained on made_findings().
     """
-    found = with_features(candidates(docs, id_col, text_col, path_col))
-    scored = (model or train(made_findings(docs.sparkSession))).transform(found)
-    score = F.round(vector_to_array("probability")[1], 6)
-    return scored.select(F.col("id").alias(id_col), "text_hash", "start", "end", "value", score.alias("score"), (score >= threshold).alias("secret"))
+    forest = forest or train(made_findings(docs.sparkSession))
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (F.col(path_col) if path_col else F.lit(None)).cast("string").alias("path"))
+    cut = own.where(F.col("text").rlike(CANDIDATE)).select("id", "path", *[c.alias(n) for c, n in zip(_split("text"), ("gaps", "found"))])
+    placed = cut.select("id", _placed(F.col("gaps"), F.col("found"), F.col("path")).alias("placed"))
+    one = placed.select(F.col("id").alias(id_col), F.explode(judged(F.col("placed"), forest, threshold)).alias("c"))
+    return one.select(id_col, "c.start", "c.end", "c.value", "c.score", "c.secret")
 
 
-def redact(docs: DataFrame, model: PipelineModel | None = None, mark: str = "[SECRET]") -> DataFrame:
-    """docs with every secret replaced by ``mark``; n_chars follows the text; no document goes.
+def redact(docs: DataFrame, forest: Forest | None = None, mark: str = "[SECRET]", threshold: float = 0.5) -> DataFrame:
+    """docs with every secret in ``text`` replaced by ``mark``; a column n_chars follows the text; no row goes.
 
-    Texts without a candidate pass by the scan's result; the others meet their findings on
-    doc_id and a hash of the text. Rows that repeat both are redacted alike.
+    One projection: texts without a candidate pass as they are, the others are put together
+    anew from their gaps and findings. Null and empty texts stay; repeated rows are redacted
+    alike; a column source is the path, if there is one; other columns may have any name. An
+    empty table gives no rows.
     """
-    has = F.coalesce(F.col("text").rlike(CANDIDATE), F.lit(False))
-    bad = find_secrets(docs, model).where("secret").groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
-    named = bad.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "spans")
-    kept = F.aggregate(
-        "spans",
-        F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
-        lambda s, x: F.struct(F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, x["start"] - s["at"]), F.lit(mark)).alias("out"), x["end"].alias("at")),
-        lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text"))),
-    )
-    touched = docs.where(has).join(named, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_hash")), "left")
-    new = F.when(F.col("spans").isNull(), F.col("text")).otherwise(kept)
-    clean = touched.withColumn("text", new).select(*docs.columns)
+    forest = forest or train(made_findings(docs.sparkSession))
+    gaps, found, hits = (unused(c, docs) for c in ("gaps", "found", "hits"))
+    path = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
+    has = F.col("text").rlike(CANDIDATE)
+    cut = docs.withColumns({n: F.when(has, c) for c, n in zip(_split("text"), (gaps, found))})
+    known = cut.withColumn(hits, _placed(F.col(gaps), F.col(found), path)).withColumn(hits, judged(F.col(hits), forest, threshold))
+    lead = lambda h: F.substring(h["found"], F.lit(1), F.length(h["found"]) - F.length(h["value"]))
+    parts = F.transform(hits, lambda h, i: F.concat(F.get(gaps, i), F.when(h["secret"], F.concat(lead(h), F.lit(mark))).otherwise(h["found"])))
+    clean = known.withColumn("text", F.coalesce(F.concat(F.array_join(parts, ""), F.element_at(gaps, -1)), F.col("text")))
     if "n_chars" in docs.columns:
-        clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return docs.where(~has).unionByName(clean)
+        clean = clean.withColumn("n_chars", F.when(F.col(gaps).isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return clean.select(*docs.columns)
 
 
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, end, value_sha256, score and secret of every candidate in documents; texts without one give no row."""
     found = find_secrets(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "start", "end", F.sha2("value", 256).alias("value_sha256"), "score", "secret")
