@@ -95,3 +95,35 @@ def test_empty_tables(spark, empty):
     assert D.find_matches(empty, bench).count() == 0
     one = spark.createDataFrame([(1, "a")], "doc_id bigint, text string")
     assert D.find_matches(one, bench).first()["n_hit"] == 0
+
+
+def test_a_repeated_word_is_not_multiplied():
+    import resource
+
+    import numpy as np
+
+    n = 20_000
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    tests = D.prepare([("a", "x " * n), ("b", "x y " * 2_000)])
+    text, place, item, start, size = D.matches([[b"x"] * n, [b"x", b"y"] * 2_000], tests)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1_000_000  # kB
+    assert D.hit_words(text, place, size, 2).tolist() == [n, 4_000]
+    assert (size >= D.WINDOW).all() and len(text) == 2 * (n - D.WINDOW) + 1 + 3_987 and set(zip(text.tolist(), item.tolist())) == {(0, 0), (1, 1)}
+    assert np.array_equal(np.sort(text), text)
+
+
+def test_clashing_columns_and_rows_of_one_id(spark):
+    long = " ".join(f"w{i}" for i in range(13))
+    docs = spark.createDataFrame([(1, long, 5), (1, "clean text", 6), (None, long, 7), (None, None, 8)], "doc_id bigint, text string, _id int")
+    bench = spark.createDataFrame([("a", long), ("a", long)], "item_id string, text string")
+    out = D.decontaminate(docs, bench)
+    assert out.columns == docs.columns and sorted(r["_id"] for r in out.collect()) == [6, 8]
+    assert "Exchange" not in out._jdf.queryExecution().toString()
+
+
+def test_decontaminate_with_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(D, "BLOCK_BYTES", 60)
+    long = " ".join(f"w{i}" for i in range(13))
+    docs = spark.createDataFrame([(1, long, 5), (2, "clean text", 6), (3, "b " + long, 7)], "doc_id bigint, text string, _id int")
+    bench = spark.createDataFrame([(str(i), f"z{i} " * 20) for i in range(9)] + [("a", long)], "item_id string, text string")
+    assert [r["_id"] for r in D.decontaminate(docs, bench).collect()] == [6]
