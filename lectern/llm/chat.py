@@ -58,10 +58,27 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
     return turns.select("conv_id", whole.alias("formatted"), spans.alias("examples"))
 
 
+def examples(formatted: DataFrame, *whole: Column) -> DataFrame:
+    """format_conversations() -> one row for each assistant turn: conv_id, turn_no, context_chars, target (as formatted).
+
+    The context of an example is the first ``context_chars`` of its conversation's text, and
+    only the target is trainable. A conversation without an assistant turn gives no rows;
+    conversations with a null id keep it. Columns of the whole conversation, if asked for,
+    come in a row of their own, so that no example holds a copy of them.
+    """
+    none = [F.lit(None).alias(n) for n in ("turn_no", "context_chars", "target")]
+    empty = [F.lit(None).alias(f"whole{i}") for i in range(len(whole))]
+    target = lambda e: F.substring(F.col("formatted"), (e["target_start"] + 1).cast("int"), (e["target_end"] - e["target_start"]).cast("int"))
+    each = F.transform("examples", lambda e: F.struct(e["turn_no"].alias("turn_no"), e["target_start"].alias("context_chars"), target(e).alias("target"), *empty))
+    if whole:
+        each = F.concat(F.array(F.struct(*none, *[c.alias(f"whole{i}") for i, c in enumerate(whole)])), each)
+    return formatted.select("conv_id", F.explode(each).alias("e")).select("conv_id", "e.*")
+
+
 def prefix_targets(formatted: DataFrame) -> DataFrame:
     """format_conversations() -> one row for each assistant turn: conv_id, turn_no, context, target.
 
-    The contexts of a conversation add up to the square of its length; use the spans where that matters.
+    The contexts of a conversation add up to the square of its length; use examples() where that matters.
     """
     one = formatted.select("conv_id", "formatted", F.explode("examples").alias("e"))
     return one.select(
@@ -73,7 +90,12 @@ def prefix_targets(formatted: DataFrame) -> DataFrame:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """format_conversations() -> conv_id, turns array<struct<role, text>>, loss (all targets, unescaped), formatted_chars."""
+    """format_conversations() -> conv_id, turns array<struct<role, text>>, loss (all targets, unescaped), formatted_chars.
+
+    The turns are read from the formatted text, the loss from the exploded examples. The rows
+    stay dealt by conv_id, so that bringing them together takes no further shuffle. A null role or
+    text reads back as empty.
+    """
     raw = F.slice(F.split("formatted", END, -1), 1, F.size(F.split("formatted", END, -1)) - 1)
     turns = F.transform(
         raw,
@@ -82,11 +104,14 @@ def read_back(formatted: DataFrame) -> DataFrame:
             unescape(F.substring_index(t, TEXT, -1)).alias("text"),
         ),
     )
-    loss = F.expr("array_join(transform(examples, e -> substring(formatted, int(e.target_start) + 1, int(e.target_end - e.target_start))), '')")
-    return formatted.select("conv_id", turns.alias("turns"), unescape(loss).alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"))
+    rows = examples(formatted, turns, F.length("formatted").cast("long"))
+    targets = F.sort_array(F.collect_list(F.when(F.col("target").isNotNull(), F.struct("turn_no", "target"))))
+    read = rows.groupBy("conv_id").agg(F.any_value("whole0", F.lit(True)).alias("turns"), F.max("whole1").alias("formatted_chars"), targets.alias("own"))
+    return read.select("conv_id", "turns", unescape(F.array_join(F.transform("own", lambda e: e["target"]), "")).alias("loss"), "formatted_chars")
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of each conversation as read back from its formatted text and examples; nulls, ties and repeats as in format_conversations()."""
     said = "</s>[INST] ok [/INST]"
     more = spark.sql(f"select * from values (-7L, 0L, 'user', '{said}'), (-7L, 1L, 'assistant', '{said}') as t(conv_id, turn, role, text)")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)

@@ -61,3 +61,18 @@ def test_contract_row(spark, tmp_path):
 
 def test_empty_table(spark):
     assert chat.read_back(chat.format_conversations(spark.createDataFrame([], SCHEMA))).count() == 0
+
+
+def test_examples_are_rows_without_copies_of_their_context(spark):
+    formatted = chat.format_conversations(spark.createDataFrame(rows(), SCHEMA))
+    whole = {r["conv_id"]: r["formatted"] for r in formatted.collect()}
+    plain = {(r["conv_id"], r["turn_no"]): (r["context"], r["target"]) for r in chat.prefix_targets(formatted).collect()}
+    got = chat.examples(formatted).collect()
+    assert {(r["conv_id"], r["turn_no"]): (whole[r["conv_id"]][: r["context_chars"]], r["target"]) for r in got} == plain
+    assert len(got) == sum(r[2] == "assistant" for r in rows())
+
+
+def test_one_shuffle(spark, tmp_path):
+    spark.createDataFrame(rows(), SCHEMA).write.parquet(f"{tmp_path}/conversations.parquet")
+    plan = chat.op1_chat_formatting(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1, plan

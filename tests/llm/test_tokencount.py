@@ -50,3 +50,31 @@ def test_other_vocabularies_and_edges(spark, empty, documents):
     rows = tokencount.count_tokens(documents, path, between_spaces=False).join(documents, "doc_id").select("n_tokens", "text").collect()
     assert all(r["n_tokens"] == len(library.encode(r["text"] or "")) for r in rows)
     assert tokencount.count_tokens(empty, PATH).count() == 0
+
+
+def test_boundaries_are_read_from_the_file(empty, tmp_path):
+    import json
+
+    with open(PATH, "rb") as f:
+        data = f.read()
+    assert tokencount.safe_spaces(data, "word_bpe_49k.json")
+    for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"):
+        with open(public_tokenizers.path(name), "rb") as f:
+            assert not tokencount.safe_spaces(f.read(), name)
+    own = json.loads(data)
+    own["added_tokens"][0]["lstrip"] = True
+    assert not tokencount.safe_spaces(json.dumps(own).encode(), "x.json")
+    with pytest.raises(ValueError):
+        tokencount.count_tokens(empty, public_tokenizers.path("byte_bpe_50k.json"), between_spaces=True)
+
+
+def test_whole_texts_where_spaces_count(spark, documents):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    rows = tokencount.count_tokens(documents, path).join(documents, "doc_id").select("n_tokens", "text").collect()
+    assert rows and all(r["n_tokens"] == len(library.encode(r["text"] or "", add_special_tokens=False).ids) for r in rows)
+
+
+def test_batches_are_balanced_by_bytes(monkeypatch):
+    monkeypatch.setattr(tokencount, "BATCH_BYTES", 8)
+    assert list(tokencount.groups(["日本", "日", "aaaa", "bbbb", "x" * 20, "c"])) == [["日本"], ["日", "aaaa"], ["bbbb"], ["x" * 20], ["c"]]
