@@ -1,10 +1,15 @@
-"""Personal data: offset-preserving deobfuscation, detection, and spans mapped back to the source."""
+"""Personal data: offset-preserving deobfuscation, detection, and spans mapped back to the source.
+
+The deobfuscation is a cascade of three transducers (look-alikes, spelled digits, at and dot).
+Each reads its tokens with a compiled automaton and writes what they stand for, and a tape
+keeps the source characters of every character written.
+"""
 
 from __future__ import annotations
 
 import bisect
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -78,8 +83,9 @@ DIGITS = {
     "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
 }
 _DIGIT = "|".join(sorted(DIGITS, key=len, reverse=True))
-#: Spelled digits count from four in a row on (figures may stand between), so that a lone "one" stays a word.
-_SPELLED = re.compile(rf"(?<!\w)(?:(?:plus|\+)[ ,.-]*)?(?:{_DIGIT})(?:[ ,.-]+(?:{_DIGIT}|[0-9]+)){{3,}}(?!\w)", re.I)
+#: A run of spelled digits and figures; it is undone if it has a spelled one and as many digits as the shortest identifier.
+_SPELLED = re.compile(rf"(?<!\w)(?:(?:plus|\+)[ ,.-]*+)?+(?:{_DIGIT}|[0-9]++)(?:[ ().,-]++(?:{_DIGIT}|[0-9]++))++(?!\w)", re.I)
+LEAST_DIGITS = 4
 _DIGIT_WORD = re.compile(rf"(?<!\w)(?:{_DIGIT})(?!\w)|(?<!\w)plus[ ,.-]*", re.I)
 _COMMAS = re.compile(r",")
 
@@ -97,56 +103,71 @@ _HINT = re.compile(r"[\[({<]\s*(?:at|@|arroba|chez|dot|punto|punkt|point|\.)\s*[
 _DIGIT_HINT = re.compile(rf"(?<!\w)(?:{_DIGIT})[ ,.-]+(?:{_DIGIT}|[0-9]+)(?!\w)", re.I)
 
 
-class Normal:
+class Tape:
     """A text under rewriting; of every character it knows the source characters it stands for."""
 
     def __init__(self, text: str):
         self.text, self.start, self.end = text, range(len(text)), range(1, len(text) + 1)
 
     def rewrite(self, changes: list[tuple[int, int, str]]) -> None:
-        """Replace [from, to) by a string, for sorted changes that don't overlap."""
+        """Replace [from, to) by a string, for sorted changes that don't overlap. Each character is copied once."""
         if not changes:
             return
         texts, starts, ends, at = [], [], [], 0
         for a, b, new in changes:
             texts += [self.text[at:a], new]
-            starts += [*self.start[at:a], *([self.start[a]] * len(new))]
-            ends += [*self.end[at:a], *([self.end[b - 1]] * len(new))]
+            for own, first in ((starts, self.start), (ends, self.end)):
+                own.extend(first[at:a])
+            starts.extend([self.start[a]] * len(new))
+            ends.extend([self.end[b - 1]] * len(new))
             at = b
         self.text = "".join([*texts, self.text[at:]])
-        self.start, self.end = [*starts, *self.start[at:]], [*ends, *self.end[at:]]
+        starts.extend(self.start[at:])
+        ends.extend(self.end[at:])
+        self.start, self.end = starts, ends
 
     def source(self, a: int, b: int) -> tuple[int, int]:
         return self.start[a], self.end[b - 1]
 
 
-def _lookalikes(n: Normal) -> None:
-    n.rewrite([(m.start(), m.end(), LOOKALIKES[m[0]]) for m in _LOOKALIKE.finditer(n.text)])
+class Transducer:
+    """An automaton for tokens, and what it writes for each: changes [from, to) -> string, in order, of one match."""
+
+    def __init__(self, tokens: re.Pattern, write: Callable[[re.Match], list[tuple[int, int, str]]]):
+        self.tokens, self.write = tokens, write
+
+    def run(self, tape: Tape) -> None:
+        tape.rewrite([change for m in self.tokens.finditer(tape.text) for change in self.write(m)])
+
+
+def _lookalike(m: re.Match) -> list[tuple[int, int, str]]:
+    return [(*m.span(), LOOKALIKES[m[0]])]
 
 
-def _spelled(n: Normal) -> None:
-    changes = []
-    for run in _SPELLED.finditer(n.text):
-        own = list(_DIGIT_WORD.finditer(n.text, *run.span()))
-        changes += [(m.start(), m.end(), DIGITS.get(m[0].lower(), "+")) for m in own]
-        changes += [(m.start(), m.end(), "") for m in _COMMAS.finditer(n.text, *run.span())]
-    n.rewrite(sorted(changes))
+def _spelled(m: re.Match) -> list[tuple[int, int, str]]:
+    own = list(_DIGIT_WORD.finditer(m.string, *m.span()))
+    words = [w for w in own if w[0].lower() in DIGITS]
+    if not words or len(words) + sum(map(str.isdecimal, m[0])) < LEAST_DIGITS:
+        return []
+    changes = [(w.start(), w.end(), DIGITS.get(w[0].lower(), "+")) for w in own]
+    changes += [(c.start(), c.end(), "") for c in _COMMAS.finditer(m.string, *m.span())]
+    return sorted(changes)
+
+
+def _at_and_dot(m: re.Match) -> list[tuple[int, int, str]]:
+    if not m["at"]:
+        return []
+    bare = not re.search(r"[@\[({<]", m[0])
+    if bare and not _DOT_MARK.search(m[0], m.end("at") - m.start()):  # "look at example.com" is no address
+        return []
+    at = m.start("at"), m.end("at")
+    changes = [(*at, "@")] if m["at"] != "@" else []
+    for area in ((m.start(), at[0]), (at[1], m.end())):
+        changes += [(d.start(), d.end(), ".") for d in _DOT_MARK.finditer(m.string, *area)]
+    return sorted(changes)
 
 
-def _at_and_dot(n: Normal) -> None:
-    changes = []
-    for m in _DISGUISED.finditer(n.text):
-        if not m["at"]:
-            continue
-        bare = not re.search(r"[@\[({<]", m[0])
-        if bare and not _DOT_MARK.search(m[0], m.end("at") - m.start()):  # "look at example.com" is no address
-            continue
-        at = m.start("at"), m.end("at")
-        if m["at"] != "@":
-            changes.append((*at, "@"))
-        for area in ((m.start(), at[0]), (at[1], m.end())):
-            changes += [(d.start(), d.end(), ".") for d in _DOT_MARK.finditer(n.text, *area)]
-    n.rewrite(sorted(changes))
+CASCADE = [Transducer(_LOOKALIKE, _lookalike), Transducer(_SPELLED, _spelled), Transducer(_DISGUISED, _at_and_dot)]
 
 
 def added_spans(text: str, base: list[Span]) -> list[Span]:
@@ -156,17 +177,18 @@ def added_spans(text: str, base: list[Span]) -> list[Span]:
     """
     if not (_LOOKALIKE.search(text) or _HINT.search(text) or _DIGIT_HINT.search(text)):
         return []
-    n = Normal(text)
-    for step in (_lookalikes, _spelled, _at_and_dot):
-        step(n)
-    if n.text == text:
+    tape = Tape(text)
+    for step in CASCADE:
+        step.run(tape)
+    if tape.text == text:
         return []
     taken, starts, found = bytearray(len(text)), [x for _, x, _ in base], []
     for _, a, b in base:
         taken[a:b] = b"\1" * (b - a)
-    for kind, a, b in base_spans(n.text):
-        a, b = n.source(a, b)
-        if 1 not in taken[a:b] or any(k == kind and a <= x and y <= b and (a, b) != (x, y) for k, x, y in base[bisect.bisect_left(starts, a) :][:4]):
+    for kind, a, b in base_spans(tape.text):
+        a, b = tape.source(a, b)
+        inside = range(bisect.bisect_left(starts, a), bisect.bisect_left(starts, b))
+        if taken.find(1, a, b) < 0 or any(base[i][0] == kind and base[i][2] <= b and base[i][1:] != (a, b) for i in inside):
             found.append((kind, a, b))
             taken[a:b] = b"\1" * (b - a)
     return found
@@ -182,7 +204,9 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Both are arrays of struct(kind, start, end) in code points of the source, end exclusive,
     by start and then kind. ``base`` is found in the text as it stands, ``added`` after
     look-alike letters, spelled digits and at/dot disguises are undone. A null text is
-    empty; texts of any length are read whole; other columns are not read.
+    empty; texts of any length are read whole; repeated rows have their spans each; other
+    columns are not read; an empty table gives no rows. A bare "at" before a domain with a
+    plain dot ("look at example.com") is taken for a word.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     spans = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
@@ -206,6 +230,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, counts by kind, base_sha256 and spans of each row of documents; a null text has none."""
     found = find_pii(table(spark, sf_dir, "documents"))
     write = lambda s: F.array_join(F.transform(s, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
     rank = lambda k: F.when(k == "email", 0).when(k == "ip", 1).when(k == "card", 2).otherwise(3)

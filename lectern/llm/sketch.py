@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, table, unused
 
 #: Words of a shingle.
 WIDTH = 5
 #: One hash in 2 ** SCALE_BITS is retained.
 SCALE_BITS = 2
-#: At most so many ranges of ids are ordered on their own.
-RANGES = 256
+#: Ids of a range that is ordered on its own. There are as many ranges as ids need, so that one row of each (all that
+#: is broadcast or ordered in one place) is a millionth of the ids.
+RANGE_ROWS = 1_000_000
 
 
 def with_sketch(df: DataFrame, text_col: str, out: str, width: int = WIDTH, scale_bits: int = SCALE_BITS) -> DataFrame:
@@ -25,21 +26,23 @@ def with_sketch(df: DataFrame, text_col: str, out: str, width: int = WIDTH, scal
     texts aren't taken for equal. Null and empty texts have an empty sketch.
     """
     words = F.array_remove(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[\x20\x09-\x0D]+"), "")
-    shingles = F.when(F.size("_h") >= width, _rolled(width)).when(F.size("_h") > 0, F.array(F.expr("aggregate(_h, 42L, (s, x) -> xxhash64(s, x))"))).otherwise(F.array().cast("array<bigint>"))
-    kept = F.filter("_s", lambda h: F.shiftrightunsigned(h, 64 - scale_bits) == 0) if scale_bits else F.col("_s")
+    h, s, k = (unused(c, df) for c in ("hashes", "shingles", "kept"))
+    shingles = F.when(F.size(h) >= width, _rolled(h, width)).when(F.size(h) > 0, F.array(F.expr(f"aggregate(`{h}`, 42L, (s, x) -> xxhash64(s, x))"))).otherwise(F.array().cast("array<bigint>"))
+    kept = F.filter(s, lambda x: F.shiftrightunsigned(x, 64 - scale_bits) == 0) if scale_bits else F.col(s)
     return (
-        df.withColumn("_h", F.transform(words, lambda w: F.xxhash64(w)))
-        .withColumn("_s", shingles)
-        .drop("_h")
-        .withColumn("_k", kept)
-        .withColumn(out, F.sort_array(F.array_distinct(F.when((F.size("_k") == 0) & (F.size("_s") > 0), F.array(F.array_min("_s"))).otherwise(F.col("_k")))))
-        .drop("_s", "_k")
+        df.withColumn(h, F.transform(words, lambda w: F.xxhash64(w)))
+        .withColumn(s, shingles)
+        .drop(h)
+        .withColumn(k, kept)
+        .withColumn(out, F.sort_array(F.array_distinct(F.when((F.size(k) == 0) & (F.size(s) > 0), F.array(F.array_min(s))).otherwise(F.col(k)))))
+        .drop(s, k)
     )
 
 
-def _rolled(width: int) -> Column:
-    inner = ", ".join(f"_h[i + {k}]" for k in range(1, width))
-    return F.expr(f"transform(slice(_h, 1, size(_h) - {width - 1}), (x, i) -> xxhash64(x, {inner}))")
+def _rolled(hashes: str, width: int) -> Column:
+    inner = ", ".join(f"`{hashes}`[i + {k}]" for k in range(1, width))
+    rest = f", {inner}" if inner else ""
+    return F.expr(f"transform(slice(`{hashes}`, 1, size(`{hashes}`) - {width - 1}), (x, i) -> xxhash64(x{rest}))")
 
 
 def likeness(a: str, b: str) -> Column:
@@ -67,17 +70,19 @@ def fingerprint(sketch: str) -> Column:
 def neighbours(ids: DataFrame) -> DataFrame:
     """(doc_id, need), one row an id -> (doc_id, before_id, before_need): the id before it in descending order.
 
-    The first id's is the last one's: the order closes to a ring. A null id comes last. Ids
-    are cut into ranges at approximate quantiles; each range is ordered on its own, and only
-    one row of each range (RANGES at most) is ordered in one place.
+    The first id's is the last one's: the order closes to a ring. A null id comes last. Spark
+    deals the ids out by range, as many ranges as RANGE_ROWS asks for; each is ordered on its
+    own, and only one row of each range is ordered in one place.
     """
-    found = ids.agg(F.percentile_approx("doc_id", [i / RANGES for i in range(1, RANGES)], 10_000)).first()[0]
-    cuts = F.array(*[F.lit(x) for x in sorted(set(found or []))]) if found else F.array().cast("array<bigint>")
-    of_range = ids.withColumn("range", F.size(F.filter(cuts, lambda c: c <= F.col("doc_id"))))
+    spark = ids.sparkSession
+    held = cut(ids)
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + held.count() // RANGE_ROWS)
+    # Written, so that a range stays the same when a lost task runs again.
+    of_range = cut(held.repartitionByRange(ranges, F.desc_nulls_last("doc_id")).withColumn("range", F.spark_partition_id()))
     own = F.struct("doc_id", "need")
     down = Window.partitionBy("range").orderBy(F.desc_nulls_last("doc_id"))
     last = of_range.groupBy("range").agg(F.min(F.struct(F.isnotnull("doc_id").alias("has"), "doc_id", "need")).alias("last"))
-    ring = Window.orderBy(F.desc("range"))
+    ring = Window.orderBy("range")
     everything = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     entry = last.select("range", F.coalesce(F.lag("last").over(ring), F.last("last").over(everything)).alias("entry"))
     inside = of_range.withColumn("before", F.lag(own).over(down))
@@ -120,6 +125,11 @@ def edit_study(docs: DataFrame) -> DataFrame:
 
 
 def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and likenesses of each row of documents and of its edited text; nulls, ties and repeats as in edit_study().
+
+    Besides the contract's columns, ``held_in_next`` is the share of the fingerprint that the
+    next document's has, which is what a short text in a long one is found by.
+    """
     return edit_study(table(spark, sf_dir, "documents")).select(
         "doc_id",
         "n_chars",
@@ -128,4 +138,5 @@ def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         fingerprint("edited_sketch").alias("edited_fingerprint"),
         likeness("sketch", "edited_sketch").alias("near_edited"),
         likeness("sketch", "next_sketch").alias("near_next"),
+        containment("sketch", "next_sketch").alias("held_in_next"),
     )

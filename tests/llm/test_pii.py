@@ -58,6 +58,9 @@ def test_base_spans_of_real_shapes(parts):
     ("look at example.com", None),
     ("she was at home dot", None),
     ("one two three", None),
+    ("call +34 612 345 six seven eight now", ("phone", "+34 612 345 six seven eight")),
+    ("tel +1 415 555 zero one 99", ("phone", "+1 415 555 zero one 99")),
+    ("+4 (207) 946 zero nine five eight.", ("phone", "+4 (207) 946 zero nine five eight")),
 ])
 def test_disguises(text, shown):
     added = pii.added_spans(text, pii.base_spans(text))
@@ -83,3 +86,10 @@ def test_query(spark, documents, tmp_path, empty):
     rows = {r["doc_id"]: r for r in pii.op5_pii(spark, str(tmp_path)).collect()}
     assert rows[900]["spans"] == "email:5:11,ip:15:23" and (rows[900]["n_email"], rows[900]["n_ip"], rows[900]["n_card"]) == (1, 1, 0)
     assert pii.find_pii(empty).count() == 0
+
+
+def test_all_base_spans_inside_an_added_one_count():
+    # The base finds a phone in the fifth place inside; the added span holds it and reaches beyond.
+    own = "+1 (234) 567-890 one two"
+    base = [("card", k, k + 1) for k in (1, 4, 5, 6, 9)] + [("phone", 10, 16)]
+    assert pii.added_spans(own, base) == [("phone", 0, len(own))]

@@ -1,4 +1,5 @@
 import hashlib
+import re
 
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ def sketches(spark, texts, **how):
 
 
 def shingles(text):
-    w = (text or "").lower().split()
+    w = [x for x in re.split(r"[ \t-\r]+", (text or "").lower()) if x]
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
 
 
@@ -41,7 +42,7 @@ def test_likeness_and_containment(spark):
 
 
 def test_neighbours_close_a_ring_over_many_ranges(spark, monkeypatch):
-    monkeypatch.setattr(sketch, "RANGES", 7)
+    monkeypatch.setattr(sketch, "RANGE_ROWS", 1)
     ids = [5, 9, -3, 1000, 42, 43, 44, 7_000_000_000, None, 0]
     found = {r["doc_id"]: (r["before_id"], r["before_need"]) for r in sketch.neighbours(spark.createDataFrame([(i, (i or 0) % 10) for i in ids], "doc_id bigint, need bigint")).collect()}
     down = sorted((i for i in ids if i is not None), reverse=True) + [None]
@@ -73,3 +74,37 @@ def test_query(spark, documents, tmp_path):
 
 def test_empty_table(spark, empty):
     assert sketch.edit_study(empty).count() == 0
+
+
+def plain_sketch(text, scale_bits, h):
+    kept = {x for x in map(h, shingles(text)) if x & (1 << 64) - 1 < 1 << 64 - scale_bits}
+    own = {h(x) for x in shingles(text)}
+    return kept or ({min(own)} if own else set())
+
+
+def test_sketches_and_likenesses_equal_plain_sets(spark, documents):
+    """Every retained hash is the chained XXH64 of a shingle's words, and every likeness that of the sets."""
+    rows = [r["text"] for r in documents.collect() if len(r["text"] or "") < 2000]
+    words = sorted({w for t in rows for s in shingles(t) for w in s})
+    grams = sorted({s for t in rows for s in shingles(t)})
+    of_word = {r["w"]: r["h"] for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    chained = lambda s: "aggregate(array(" + ", ".join(f"{of_word[w]}L" for w in s) + "), 42L, (s, x) -> xxhash64(s, x))"
+    five = [s for s in grams if len(s) == 5]
+    frame = spark.createDataFrame([(list(s), [of_word[w] for w in s]) for s in five], "s array<string>, h array<long>")
+    known = {tuple(r["s"]): r["x"] for r in frame.select("s", F.expr("xxhash64(h[0], h[1], h[2], h[3], h[4])").alias("x")).collect()}
+    known |= {s: spark.range(1).select(F.expr(chained(s))).first()[0] for s in grams if len(s) < 5}
+    df = spark.createDataFrame([(i, t, t[: len(t) // 2] + " more" if t else None) for i, t in enumerate(rows)], "i int, text string, part string")
+    both = sketch.with_sketch(sketch.with_sketch(df, "text", "a"), "part", "b")
+    got = both.select("i", "a", sketch.likeness("a", "a").alias("same"), "b", sketch.likeness("a", "b").alias("near"), sketch.containment("b", "a").alias("held")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        want = plain_sketch(rows[r["i"]], sketch.SCALE_BITS, known.__getitem__)
+        assert r["a"] == sorted(want)
+        b = set(r["b"])
+        assert r["near"] == (len(want & b) / len(want | b) if want | b else 1.0) and r["held"] == (len(want & b) / len(b) if b else 1.0) and r["same"] == 1.0
+
+
+def test_columns_of_the_caller_stay(spark):
+    df = spark.createDataFrame([("a b c", 1, 2, 3, "x", "y", "z")], "text string, _h int, _s int, _k int, hashes string, shingles string, kept string")
+    out = sketch.with_sketch(df, "text", "sketch")
+    assert out.columns == [*df.columns, "sketch"] and out.drop("sketch").first() == df.first()
