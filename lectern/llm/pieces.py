@@ -1,10 +1,14 @@
 """SentencePiece encoding and decoding by a shared-prefix Viterbi over a trie of marked words.
 
-The vocabulary file is a byte-pair one: which pieces a word has is set by the order of
-merges, and not by a sum of scores. The forward state of a prefix is therefore its last
-piece. Merging has one such piece for every prefix: the piece whose pair with the last
-piece of what stands before it is left alone by the merges. So a prefix is solved once,
-from shorter prefixes, whatever follows, and words that share it share its states.
+Distinct words, sorted, are the leaves of a trie in depth-first order, and the forward states
+along a common prefix are computed once. For a unigram file (Unigram) the state is the best
+score of the prefix and the piece that ends there.
+
+In a byte-pair file (Pieces) the pieces of a word are set by the order of merges, and not by a
+sum of scores. The forward state of a prefix is therefore its last piece. Merging has one
+such piece for every prefix: the piece whose pair with the last piece of what stands before
+it is left alone by the merges. So a prefix is solved once, from shorter prefixes, whatever
+follows, and words that share it share its states.
 """
 
 from __future__ import annotations
@@ -34,10 +38,62 @@ REMEMBERED_WORDS, REMEMBERED_PAIRS = 300_000, 400_000
 FILE_BYTES = 64 << 20
 
 
+#: Numbers of the file format: kinds of models and of pieces.
+UNIGRAM, BYTE_PAIR, USER_DEFINED, UNUSED = 1, 2, 4, 5
+#: What the library takes off the least score for a character that no piece has.
+UNKNOWN_PENALTY = 10.0
+
+
+def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of each field of a message of the file: integers, and bytes of the rest."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = data[at]
+            at += 1
+            value |= (byte & 127) << shift
+            if byte < 128:
+                return value
+            shift += 7
+
+    while at < len(data):
+        key = varint()
+        if key & 7 == 0:
+            yield key >> 3, varint()
+        else:
+            size = {1: 8, 5: 4}.get(key & 7) or varint()
+            yield key >> 3, data[at : at + size]
+            at += size
+
+
+def model_kind(data: bytes) -> int:
+    """UNIGRAM or BYTE_PAIR; a file whose texts or pieces are treated in a way that isn't built here is an error."""
+    parts = list(_fields(data))
+    trainer = dict(_fields(next((v for n, v in parts if n == 2), b"")))
+    normal = dict(_fields(next((v for n, v in parts if n == 3), b"")))
+    kinds = {dict(_fields(v)).get(3, 1) for n, v in parts if n == 1}
+    reasons = [
+        (trainer.get(3, UNIGRAM) not in (UNIGRAM, BYTE_PAIR), "a model of words or characters"),
+        (trainer.get(24, 0), "white space as a suffix"),
+        (normal.get(2, b""), "a normaliser"),
+        (not normal.get(3, 1), "no mark before the text"),
+        (normal.get(4, 1), "white space taken out"),
+        (not normal.get(5, 1), "white space that is not marked"),
+        (kinds & {USER_DEFINED, UNUSED}, "pieces defined by users, or unused"),
+    ]
+    if found := [why for test, why in reasons if test]:
+        raise ValueError(f"the vocabulary file has {', '.join(found)}")
+    return trainer.get(3, UNIGRAM)
+
+
 class Pieces:
-    """Encoder and decoder for one vocabulary."""
+    """Encoder and decoder for one byte-pair vocabulary."""
 
     def __init__(self, data: bytes):
+        model_kind(data)
         own = sentencepiece.SentencePieceProcessor(model_proto=data)
         ids = range(own.get_piece_size())
         self.names = [own.id_to_piece(i) for i in ids]
@@ -47,6 +103,7 @@ class Pieces:
         self.of_byte = {i: b for b, i in self.byte.items()}
         self.unknown = own.unk_id()
         self.rank = {self.names[i]: (-own.get_score(i), i) for i in ids if i not in special}
+        self.least = min(own.get_score(i) for i in ids if i not in special)
         if any(MARK in name.lstrip(MARK) for name in self.rank):
             raise ValueError("a piece reaches from one word into the next")
         self.longest = max(map(len, self.rank))
@@ -172,6 +229,61 @@ class Pieces:
         return text[1:] if text.startswith(" ") else text
 
 
+class Unigram(Pieces):
+    """Encoder and decoder for one unigram vocabulary: the path of the best sum of scores."""
+
+    def solve(self, words: list[str]) -> dict[str, list[str]]:
+        """Pieces of each word by Viterbi; of equal sums the one whose last piece starts first, as in the library.
+
+        best[i] and back[i] are the score of the first i characters and where the last piece of
+        the best path to i starts. Both hold for every word with that prefix, so a word only
+        pays for what it doesn't share with the one before. A character that no piece has
+        costs the least score and a penalty more; unknown characters in a row are one piece
+        where the file has no bytes for them.
+        """
+        solved, before, best, back = {}, "", [0.0], [0]
+        lone = self.least - UNKNOWN_PENALTY
+        for word in sorted(words):
+            shared, most = 0, min(len(before), len(word))
+            while shared < most and before[shared] == word[shared]:
+                shared += 1
+            del best[shared + 1 :], back[shared + 1 :]
+            ends: dict[int, list[str]] = {}
+            for end, piece in self.automaton.iter(word, max(0, shared + 1 - self.longest)):
+                if end >= shared:
+                    ends.setdefault(end + 1, []).append(piece)
+            for end in range(shared + 1, len(word) + 1):
+                found = sorted(ends.get(end, []), key=len, reverse=True)  # the earliest start first
+                options = [(best[end - len(p)] - self.rank[p][0], end - len(p)) for p in found]
+                if word[end - 1] not in self.single:
+                    options.append((best[end - 1] + lone, end - 1))
+                score, start = max(options, key=lambda x: x[0])
+                best.append(score)
+                back.append(start)
+            own, end = [], len(word)
+            while end:
+                own.append(word[back[end] : end])
+                end = back[end]
+            solved[word] = self._joined(own[::-1])
+            before = word
+        return solved
+
+    def _joined(self, own: list[str]) -> list[str]:
+        if self.byte or all(p in self.rank for p in own):
+            return own
+        out: list[str] = []
+        for p in own:
+            if out and p not in self.rank and out[-1] not in self.rank:
+                out[-1] += p
+            else:
+                out.append(p)
+        return out
+
+    def _cuts(self) -> re.Pattern:
+        """Units of a marked text: a word with the marks before it, as no piece reaches into the next."""
+        return re.compile(rf"{MARK}+[^{MARK}]*|[^{MARK}]+")
+
+
 _OWN: dict[int, Pieces] = {}
 
 
@@ -180,7 +292,7 @@ def _pieces(data: bytes) -> Pieces:
     key = hash(data)
     if key not in _OWN:
         _OWN.clear()
-        _OWN[key] = Pieces(data)
+        _OWN[key] = (Unigram if model_kind(data) == UNIGRAM else Pieces)(data)
     return _OWN[key]
 
 
@@ -199,14 +311,18 @@ def _sent(spark: SparkSession, path: str):
     if os.path.getsize(path) > FILE_BYTES:
         raise ValueError(f"{path} is larger than {FILE_BYTES} bytes")
     with open(path, "rb") as f:
-        return spark.sparkContext.broadcast(f.read())
+        data = f.read()
+    model_kind(data)
+    return spark.sparkContext.broadcast(data)
 
 
 def encode(docs: DataFrame, path: str, text_col: str = "text", out: str = "pieces") -> DataFrame:
     """docs with two more columns: ``out`` (array of int) and ``out``_exact (boolean).
 
-    The ids are those of the library for the file. ``exact`` says that decode() gives the
-    text back; it doesn't where a text holds the mark U+2581 itself, which reads as a space.
+    The ids are those of the library for the file; a file that asks for what isn't built here
+    is an error (see model_kind()). ``exact`` says that decode() gives the text back; it
+    doesn't where a text holds the mark U+2581 itself, which reads as a space, or a character
+    that neither the pieces nor bytes have.
     Null and empty texts have no pieces and are exact. All columns and rows stay, repeated
     ones too; texts are read whole. Columns that have the new names are an error.
     """
@@ -231,7 +347,13 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", out: str = "piece
 
 
 def decode(rows: DataFrame, path: str, ids_col: str = "pieces", out: str = "decoded") -> DataFrame:
-    """rows with the text of the ids in a column ``out``; a null list is an empty text."""
+    """rows with the text of the ids in a column ``out``; a null or empty list is an empty text.
+
+    Ids are those of the file; repeated rows and other columns stay; a column that has the new
+    name is an error; an empty table gives no rows.
+    """
+    if out in rows.columns:
+        raise ValueError(f"rows already has {out}")
     sent, at = _sent(rows.sparkSession, path), rows.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,6 +372,7 @@ def vocabulary() -> str:
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    """doc_id, n_pieces, pieces and round_trip of each row of documents; a null text has no pieces and is exact."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = encode(docs, path or vocabulary())
     return coded.select("doc_id", F.size("pieces").cast("bigint").alias("n_pieces"), "pieces", F.col("pieces_exact").alias("round_trip"))

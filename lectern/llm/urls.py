@@ -11,8 +11,8 @@ from .common import ascii_lower, table
 SHORT = 8
 #: Up to so many rules are broadcast; more are joined by shuffle.
 BROADCAST_RULES = 10_000
-#: Distinct (labels, path length) shapes of the rules that are written into the plan.
-SHAPES = 4_096
+#: Parts into which the pages that ask for one rule are dealt in that shuffle; every rule goes to each.
+SALTS = 16
 
 
 def host_of(url: Column) -> Column:
@@ -55,26 +55,24 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", defa
     rule (host and path together, then host) wins; without one, rule is null and the verdict
     ``default``. A url that is null or has no ``://`` has an empty host and path. Only those
     suffixes and prefixes are written out whose number of labels and length some rule has,
-    which loses no rule. Repeated rows are judged once and returned as often as they came.
+    which loses no rule, and costs a long path no more than the rules have lengths. Repeated
+    rows are judged once and returned as often as they came; other columns are not read; no
+    rules, or an empty table, give the default, or no rows.
     """
     ready = prepared(rules)
-    shapes = ready.select("labels", "path_chars").distinct().orderBy("labels", "path_chars").limit(SHAPES + 1).collect()
-    few = len(shapes) <= SHAPES and ready.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
+    shapes = ready.groupBy("labels").agg(F.sort_array(F.collect_set("path_chars")).alias("chars")).orderBy("labels").collect()
+    few = ready.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
     rows = (
         pages.select(F.col(id_col).alias("id"), "url")
         .groupBy("id", "url")
         .agg(F.count("*").alias("times"))
         .withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     )
-    if few:
-        pairs = F.array(*[F.struct(F.lit(s["labels"]).alias("labels"), F.lit(s["path_chars"]).alias("path_chars")) for s in shapes])
-    else:  # every suffix with every prefix that a long rule list can have
-        lengths = F.transform(F.sequence(F.lit(0), F.length("path")), lambda c: c)
-        depth = F.sequence(F.lit(0), F.size(F.split("host", r"\.")))
-        pairs = F.flatten(F.transform(depth, lambda d: F.transform(lengths, lambda c: F.struct(d.alias("labels"), c.alias("path_chars")))))
-    if few and not shapes:
-        pairs = F.array().cast("array<struct<labels:int,path_chars:int>>")
-    fits = F.filter(pairs, lambda p: (p["labels"] <= F.size(F.split("host", r"\."))) & (p["path_chars"] <= F.length("path")))
+    listed = ", ".join(f"named_struct('labels', {s['labels']}, 'chars', array({', '.join(map(str, s['chars']))}))" for s in shapes)
+    known = F.expr(f"array({listed})") if shapes else F.array().cast("array<struct<labels:int,chars:array<int>>>")
+    able = F.filter(known, lambda s: s["labels"] <= F.size(F.split("host", r"\.")))
+    prefixes = lambda s: F.filter(s["chars"], lambda c: c <= F.length("path"))
+    fits = F.flatten(F.transform(able, lambda s: F.transform(prefixes(s), lambda c: F.struct(s["labels"].alias("labels"), c.alias("path_chars")))))
     suffix = F.expr("case when p.labels = 0 then '' else substring_index(host, '.', -p.labels) end")
     prefix = F.expr("substring(path, 1, p.path_chars)")
     asked = (
@@ -82,8 +80,12 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", defa
         .withColumn("full", F.when(F.col("p").isNotNull(), digest(F.concat_ws("\n", suffix, prefix))))
         .withColumn("short", F.substring("full", 1, SHORT))
     )
-    side = F.broadcast(ready) if few else ready
-    met = asked.join(side, "short", "left").withColumn("sure", F.col("full") == F.col("rule_digest"))
+    if few:
+        met = asked.join(F.broadcast(ready), "short", "left")
+    else:  # a rule that most pages ask for meets them in SALTS tasks
+        asked = asked.withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(SALTS)))
+        met = asked.join(ready.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["short", "salt"], "left")
+    met = met.withColumn("sure", F.col("full") == F.col("rule_digest"))
     best = F.when(F.col("sure"), F.struct((F.length("rule")).alias("n"), F.col("labels").alias("n_host"), "rule", "verdict"))
     judged = met.groupBy("id", "url", "times", "host", "path").agg(F.max(best).alias("best"))
     return judged.select(
@@ -107,6 +109,7 @@ RULES = [
 
 
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, host, path, rule and verdict of each row of pages; null urls, repeats and ties as in judge_urls()."""
     listed = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
     rules = spark.sql(f"select * from values {listed} as t(host, path, verdict)")
     return judge_urls(table(spark, sf_dir, "pages"), rules)
