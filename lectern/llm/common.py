@@ -72,6 +72,15 @@ def release(*frames: DataFrame | None) -> None:
             folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def forget(spark: SparkSession) -> None:
+    """Let Spark drop the shuffles and broadcasts of finished steps, on all executors.
+
+    Its cleaner does so once the driver's collector finds them unused, which in a heap with
+    room can be hours later; a chain of many steps would fill disks and memory until then.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """docs without the rows whose id is among ids (one column); a null id equals a null.
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import cut, release
 
 #: A node of more edges than this and than a SHARE-th of all is a hub. There are 2 * SHARE hubs at most.
-HUB, SHARE = 10_000, 1_000
+HUB, SHARE = 100_000, 1_000
 
 
 def _joined(edges: DataFrame, least: DataFrame, n: int) -> DataFrame:

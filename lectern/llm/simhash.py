@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, release, table, without_ids
+from .common import cut, forget, release, table, without_ids
 from .components import components
 
 BITS = 64
@@ -301,10 +301,13 @@ def apart(sets: DataFrame, similarity: float) -> DataFrame:
     return found
 
 
-def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b; written) whose sets of shingles have the similarity."""
-    one = cut(spread_join(pairs, sets.select(F.col("words").alias("_w"), F.col("shingles").alias("_a")), "a", "_w").drop("_w"))
-    both = spread_join(one, sets.select(F.col("words").alias("_w"), F.col("shingles").alias("_b")), "b", "_w")
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float, hubs: bool = False) -> DataFrame:
+    """The pairs (a, b; written) whose sets of shingles have the similarity. Only with ``hubs`` may an a be in many pairs."""
+    side = lambda s: sets.select(F.col("words").alias("_w"), F.col("shingles").alias(f"_{s}"))
+    one = spread_join(pairs, side("b"), "b", "_w").drop("_w")
+    if hubs:
+        one = cut(one)
+    both = spread_join(one, side("a"), "a", "_w") if hubs else one.join(side("a"), F.col("a") == F.col("_w"))
     found = cut(both.where(likeness(F.col("_a"), F.col("_b")) >= similarity).select("a", "b"))
     release(one)
     return found
@@ -360,13 +363,15 @@ def classes(docs: DataFrame, rows: DataFrame, text_col: str, width: int, similar
         roots, before = cut(components(_edges(roots, more))), (roots, left, pairs, led)
         left = _left(led.select("key", "words", "n"), roots, links)
         release(*before)
+        forget(docs.sparkSession)
     still = left.select(F.col("words").alias("_w"), "root").distinct()
     pairs = apart(sets.join(still, F.col("words") == F.col("_w")).drop("_w"), similarity)
-    roots = cut(components(_edges(roots, _alike(pairs, sets, similarity))))
+    roots = cut(components(_edges(roots, _alike(pairs, sets, similarity, hubs=True))))
     held = texts.join(roots, F.col("words") == F.col("node"), "left").select("words", "least", F.coalesce("root", "words").alias("root"))
     of_root = held.groupBy("root").agg(F.min("least").alias("component"))
     found = cut(held.join(of_root, "root").select("words", "component"))
     release(texts, sets, left, links, pairs, roots)
+    forget(docs.sparkSession)
     return found
 
 
