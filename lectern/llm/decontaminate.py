@@ -22,7 +22,7 @@ WINDOW = 13
 #: Bytes of benchmark text that one broadcast block may hold; a larger benchmark goes in several blocks.
 BLOCK_BYTES = 64 << 20
 #: Bytes of document text to a shard, unless one document is longer.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 4 << 20
 
 _KEPT = b"0123456789abcdefghijklmnopqrstuvwxyz" + bytes(range(128, 256))
 _FOLD = bytes((c + 32 if 65 <= c <= 90 else c) if (c + 32 if 65 <= c <= 90 else c) in _KEPT else 32 for c in range(256))

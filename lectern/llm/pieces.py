@@ -31,9 +31,9 @@ from .common import table
 MARK = "▁"
 codecs.register_error("each-byte", lambda e: ("\ufffd", e.start + 1))  # the library replaces each wrong byte
 #: Characters of text whose distinct words make one trie (a longer text goes alone).
-TRIE_CHARS = 4 << 20
+TRIE_CHARS = 2 << 20
 #: Words and pairs that a worker remembers; beyond that it starts anew.
-REMEMBERED_WORDS, REMEMBERED_PAIRS = 300_000, 400_000
+REMEMBERED_WORDS, REMEMBERED_PAIRS = 100_000, 300_000
 #: Largest vocabulary file that is sent to the workers.
 FILE_BYTES = 64 << 20
 

@@ -153,6 +153,8 @@ PARITY = 1_024
 HEADS = 2
 #: Rows of signatures that a worker holds.
 ROWS_AT_ONCE = 1_024
+#: Sets of shingles that are sorted at once.
+SETS_AT_ONCE = 128
 _TURNS = np.array([int.from_bytes(xxhash.xxh64_digest(b"sample", i), "little") | 1 for i in range(SAMPLES)], np.uint64)
 
 
@@ -264,10 +266,10 @@ def prefixes(sets: DataFrame, similarity: float) -> DataFrame:
     least = lambda n, share: n - np.ceil(share * n - 1e-6).astype(np.int64) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(a, SETS_AT_ONCE) for b in batches for a in range(0, b.num_rows, SETS_AT_ONCE)):
             own = batch.column(2)
             flat = own.flatten().to_numpy(zero_copy_only=False)
-            n = np.diff(own.offsets.to_numpy())
+            n = np.diff(own.offsets.to_numpy()).astype(np.int64)
             row = np.repeat(np.arange(len(n)), n)
             order = np.lexsort((flat, sent.value[flat & (SLOTS - 1)], row))
             pos = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
