@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: A-Z only, unlike lower(): contracts on words fold ASCII letters alone.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Bytes of a batch that goes to a Python worker.
+ARROW_BYTES = 8 << 20
 #: Ids that may be broadcast to drop rows; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -91,6 +93,19 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     return tidied
 
 
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow(), in batches of ARROW_BYTES at most (or one row), whatever the length of texts.
+
+    The bound is a setting of the session, which is lowered to it where it is higher: each
+    running task holds a few batches beside the heap of its executor, and as much in Python.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = re.match(r"(\d+)b?$", conf.get(name, "") or "")
+    if not held or int(held[1]) > ARROW_BYTES:
+        conf.set(name, f"{ARROW_BYTES}b")
+    return df.mapInArrow(tidy(run), schema)
+
+
 def forget(spark: SparkSession) -> None:
     """Let Spark drop the shuffles and broadcasts of finished steps, on all executors.
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, tidy, without_ids
+from .common import in_arrow, table, without_ids
 
 #: Consecutive words of a window.
 WINDOW = 13
@@ -282,7 +282,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id
                     counts = pa.array([len(t) for t in shard], pa.int64()), pa.array(hit_words(text, place, size, len(shard)))
                     yield pa.RecordBatch.from_arrays([*own.columns[: 1 + several], *counts, rows], names=[*["id", "text"][: 1 + several], "n_words", "n_hit", "matches"])
 
-        return texts.mapInArrow(tidy(run), f"id {kind}, {'text string, ' * several}n_words bigint, n_hit bigint, matches {SHAPE}")
+        return in_arrow(texts, run, f"id {kind}, {'text string, ' * several}n_words bigint, n_hit bigint, matches {SHAPE}")
 
     if len(blocks) == 1:
         return scan(blocks[0]).withColumnRenamed("id", id_col)
@@ -334,7 +334,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
                 clean = (hits == 0) | (20 * hits < np.array([len(t) for t in shard]))
                 yield batch.slice(first, len(shard)).filter(pa.array(clean))
 
-    return docs.mapInArrow(tidy(run), docs.schema)
+    return in_arrow(docs, run, docs.schema)
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

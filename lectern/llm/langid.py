@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, tidy
+from .common import in_arrow, table
 
 #: Longest n-gram.
 SPECTRUM = 3
@@ -209,7 +209,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(np.concatenate([np.zeros(0), *scores]))], names=["id", "lang_pred", "score"])
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return texts.mapInArrow(tidy(run), f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return in_arrow(texts, run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
 def trained(docs: DataFrame) -> Model | None:
@@ -236,7 +236,7 @@ def known_language(docs: DataFrame, model: Model | None, langs: tuple[str, ...]
             wanted = [g != UNKNOWN and s >= least and (langs is None or g in langs) for g, s in zip(found, scores.tolist())]
             yield batch.filter(pa.array(wanted, pa.bool_()))
 
-    return lettered.mapInArrow(tidy(run), docs.schema)
+    return in_arrow(lettered, run, docs.schema)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

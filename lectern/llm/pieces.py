@@ -26,7 +26,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, tidy
+from .common import in_arrow, table
 
 MARK = "▁"
 codecs.register_error("each-byte", lambda e: ("\ufffd", e.start + 1))  # the library replaces each wrong byte
@@ -343,7 +343,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", out: str = "piece
                 yield pa.RecordBatch.from_arrays([*columns, lists, pa.array(exact)], names=[*batch.schema.names, out, f"{out}_exact"])
 
     shape = docs.limit(0).withColumns({out: F.array().cast("array<int>"), f"{out}_exact": F.lit(True)}).schema
-    return docs.mapInArrow(tidy(run), shape)
+    return in_arrow(docs, run, shape)
 
 
 def decode(rows: DataFrame, path: str, ids_col: str = "pieces", out: str = "decoded") -> DataFrame:
@@ -362,7 +362,7 @@ def decode(rows: DataFrame, path: str, ids_col: str = "pieces", out: str = "deco
             texts = [own.decode(np.array(i or [], np.int32)) for i in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, out])
 
-    return rows.mapInArrow(tidy(run), rows.limit(0).withColumn(out, F.lit("")).schema)
+    return in_arrow(rows, run, rows.limit(0).withColumn(out, F.lit("")).schema)
 
 
 def vocabulary() -> str:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, tidy
+from .common import in_arrow, table
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -226,7 +226,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     shape = "array<struct<kind:string,start:bigint,end:bigint>>"
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return texts.mapInArrow(tidy(run), f"id {kind}, base {shape}, added {shape}").withColumnRenamed("id", id_col)
+    return in_arrow(texts, run, f"id {kind}, base {shape}, added {shape}").withColumnRenamed("id", id_col)
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, forget, release, table, tidy, without_ids
+from .common import cut, forget, in_arrow, release, table, without_ids
 from .components import components
 
 BITS = 64
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), f"id {kind}, fp long")
+    return in_arrow(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, f"id {kind}, fp long")
 
 
 def ball(fp: Column, radius: int) -> Column:
@@ -202,7 +202,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataF
 
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return texts.mapInArrow(tidy(run), f"id {kind}, words long, fp long, samples array<long>, n long")
+    return in_arrow(texts, run, f"id {kind}, words long, fp long, samples array<long>, n long")
 
 
 def shingle_sets(docs: DataFrame, asked: DataFrame, text_col: str, width: int) -> DataFrame:
@@ -232,7 +232,7 @@ def shingle_sets(docs: DataFrame, asked: DataFrame, text_col: str, width: int) -
                     parity.append(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(np.array(whole, np.uint64).view(np.int64)), _lists(sets), _lists(parity)], names=["words", "shingles", "parity"])
 
-    every = docs.select(F.col(text_col).alias("text")).mapInArrow(tidy(run), "words long, shingles array<long>, parity array<long>")
+    every = in_arrow(docs.select(F.col(text_col).alias("text")), run, "words long, shingles array<long>, parity array<long>")
     # Copies are put together before the shuffle: grouping by all columns keeps one row of each in every task.
     return every.groupBy("words", "shingles", "parity").agg(F.lit(1).alias("_")).drop("_").join(asked, "words", "left_semi")
 
@@ -282,7 +282,7 @@ def prefixes(sets: DataFrame, similarity: float) -> DataFrame:
                 names=["token", "words", "root", "n", "pos", "short"],
             )
 
-    return sets.select("words", "root", "shingles").mapInArrow(tidy(run), "token long, words long, root long, n int, pos int, short boolean")
+    return in_arrow(sets.select("words", "root", "shingles"), run, "token long, words long, root long, n int, pos int, short boolean")
 
 
 def apart(sets: DataFrame, similarity: float) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, tidy
+from .common import in_arrow, table
 
 #: Bytes of text that are encoded at once (a longer piece goes alone).
 BATCH_BYTES = 1 << 20
@@ -148,7 +148,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64())], names=["id", "n_bytes", "n_tokens"])
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return texts.mapInArrow(tidy(run), f"id {kind}, n_bytes bigint, n_tokens bigint").withColumnRenamed("id", id_col)
+    return in_arrow(texts, run, f"id {kind}, n_bytes bigint, n_tokens bigint").withColumnRenamed("id", id_col)
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
