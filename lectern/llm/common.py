@@ -100,7 +100,7 @@ def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     running task holds a few batches beside the heap of its executor, and as much in Python.
     """
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    held = re.match(r"(\d+)b?$", conf.get(name, "") or "")
+    held = re.fullmatch(r"(\d+)b?", conf.get(name))
     if not held or int(held[1]) > ARROW_BYTES:
         conf.set(name, f"{ARROW_BYTES}b")
     return df.mapInArrow(tidy(run), schema)
