@@ -149,8 +149,6 @@ BITS_EACH, MOST_BITS = 16, 1 << 27
 SLOTS = 1 << 18
 #: Parity bits of a text's distinct shingles: two texts differ in at least as many shingles as bits.
 PARITY = 1_024
-#: Rounds in which a text meets one other of its bucket, before those that are still apart meet on their rare shingles.
-HEADS = 2
 #: Rows of signatures that a worker holds.
 ROWS_AT_ONCE = 1_024
 #: Sets of shingles that are sorted at once.
@@ -315,25 +313,19 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float, hubs: bool = Fa
     return found
 
 
-def _edges(roots: DataFrame | None, more: DataFrame) -> DataFrame:
-    return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more) if roots else more
-
-
-def _left(members: DataFrame, roots: DataFrame, links: DataFrame) -> DataFrame:
-    """The members (key, words, n) of keys of several groups, with root and rank: the texts of most links come first."""
-    rank = links.select(F.col("a").alias("_w")).union(links.select("b")).groupBy("_w").agg((-F.count("*")).cast("int").alias("rank"))
-    joined = members.join(roots, F.col("words") == F.col("node"), "left").join(rank, F.col("words") == F.col("_w"), "left")
-    joined = cut(joined.select("key", "words", "n", F.coalesce("root", "words").alias("root"), F.coalesce("rank", F.lit(0)).alias("rank")))
+def _apart_in_keys(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(words, root) of the members of keys that hold several groups."""
+    joined = cut(members.join(roots, F.col("words") == F.col("node"), "left").select("key", "words", F.coalesce("root", "words").alias("root")))
     mixed = joined.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select(F.col("key").alias("_key"))
-    found = cut(spread_join(joined, mixed, "key", "_key").select("key", "words", "n", "root", "rank"))
+    found = cut(spread_join(joined, mixed, "key", "_key").select("words", "root").distinct())
     release(joined)
     return found
 
 
 def buckets(texts: DataFrame) -> DataFrame:
-    """texts (words, fp, samples, n; written, words without repeats) -> (key, words, n) for keys that several texts share.
+    """texts (words, fp, samples, n; written, words without repeats) -> (key, words, n, size) for keys that several texts share.
 
-    A key is a sample's SimHash, or a value within one bit of the fingerprint.
+    A key is a sample's SimHash, or a value within one bit of the fingerprint; size is the number of its texts.
     """
     prints = cut(texts.select("fp").distinct())
     balls = dealt(prints, prints.count()).select("fp", F.explode(ball(F.col("fp"), 1)).alias("key"))
@@ -341,8 +333,8 @@ def buckets(texts: DataFrame) -> DataFrame:
     keys = near.select("key", F.explode("fps").alias("_fp")).union(prints.select("fp", "fp")).distinct()
     of_ball = spread_join(texts.select("words", "n", "fp"), keys, "fp", "_fp").select("key", "words", "n")
     every = cut(texts.select(F.explode("samples").alias("key"), "words", "n").union(of_ball).distinct())
-    shared_keys = every.groupBy("key").agg(F.min("words").alias("x"), F.max("words").alias("y")).where("x != y").select(F.col("key").alias("_key"))
-    found = cut(spread_join(every, shared_keys, "key", "_key").select("key", "words", "n"))
+    shared_keys = every.groupBy(F.col("key").alias("_key")).agg(F.count("*").alias("size")).where("size > 1")
+    found = cut(spread_join(every, shared_keys, "key", "_key").select("key", "words", "n", "size"))
     release(prints, every)
     return found
 
@@ -353,26 +345,23 @@ def classes(docs: DataFrame, rows: DataFrame, text_col: str, width: int, similar
     members = buckets(texts)
     sets = cut(shingle_sets(docs, members.select("words").distinct(), text_col, width))
     fits = lambda x, y: (x == y) | (F.least(x, y) / F.greatest(x, y) >= similarity)
-    left, links, roots = cut(members.select("*", F.col("words").alias("root"), F.lit(0).alias("rank"))), None, None
-    release(members)
-    for _ in range(HEADS):
-        heads = left.groupBy("key").agg(F.min(F.struct("rank", "words", "n", "root")).alias("head")).select(F.col("key").alias("_key"), "head")
-        led = cut(spread_join(left, heads, "key", "_key").where(F.col("words") != F.col("head.words")))
-        met = led.where(F.col("root") != F.col("head.root")).where(fits(F.col("n"), F.col("head.n")))
-        pairs = cut(met.select(F.col("words").alias("a"), F.col("head.words").alias("b")).distinct())
-        more = _alike(pairs, sets, similarity)
-        links = links.union(more) if links else more
-        roots, before = cut(components(_edges(roots, more))), (roots, left, pairs, led)
-        left = _left(led.select("key", "words", "n"), roots, links)
-        release(*before)
-        forget(docs.sparkSession)
-    still = left.select(F.col("words").alias("_w"), "root").distinct()
-    pairs = apart(sets.join(still, F.col("words") == F.col("_w")).drop("_w"), similarity)
-    roots = cut(components(_edges(roots, _alike(pairs, sets, similarity, hubs=True))))
+    # The original of edited copies shares its keys with most of them, so it leads them all.
+    rank = members.groupBy(F.col("words").alias("_w")).agg((-F.sum("size")).alias("rank"))
+    ranked = cut(members.join(rank, F.col("words") == F.col("_w")).select("key", "words", "n", "rank"))
+    heads = ranked.groupBy(F.col("key").alias("_key")).agg(F.min(F.struct("rank", "words", "n")).alias("head"))
+    led = spread_join(ranked, heads, "key", "_key").where((F.col("words") != F.col("head.words")) & fits(F.col("n"), F.col("head.n")))
+    pairs = cut(led.select(F.col("words").alias("a"), F.col("head.words").alias("b")).distinct())
+    roots = cut(components(_alike(pairs, sets, similarity)))
+    still = _apart_in_keys(ranked, roots)
+    release(members, ranked, pairs)
+    forget(docs.sparkSession)
+    pairs = apart(sets.join(still.select(F.col("words").alias("_w"), "root"), F.col("words") == F.col("_w")).drop("_w"), similarity)
+    linked = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(_alike(pairs, sets, similarity, hubs=True))
+    roots = cut(components(linked))
     held = texts.join(roots, F.col("words") == F.col("node"), "left").select("words", "least", F.coalesce("root", "words").alias("root"))
     of_root = held.groupBy("root").agg(F.min("least").alias("component"))
     found = cut(held.join(of_root, "root").select("words", "component"))
-    release(texts, sets, left, links, pairs, roots)
+    release(texts, sets, still, pairs, roots)
     forget(docs.sparkSession)
     return found
 
@@ -384,9 +373,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     within 2 bits (ball hashing), or if a sample of theirs has the same SimHash; balls alone
     find only texts that are almost equal, as a similarity of 0.8 comes to some 10 bits.
     Candidates link if the exact Jaccard similarity of all their distinct shingles is
-    ``similarity`` or more. Every text of a bucket first meets the least one, then the one
-    of most links so far, as the original of edited copies is; this joins most groups by
-    pairs that grow with the rows. Then all texts of buckets that still hold several groups
+    ``similarity`` or more. Every text of a bucket first meets the one that shares buckets
+    with most texts, as the original of edited copies does; this joins most groups by pairs
+    that grow with the rows. Then all texts of buckets that still hold several groups
     meet those that share a rare shingle with them (see prefixes()), which leaves out no
     pair that has the similarity. Null and empty texts are copies of each other; repeated
     rows, null ids, empty tables and other columns are as in simhash_groups().
