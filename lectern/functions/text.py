@@ -22,12 +22,18 @@ FRONT_MATTER = ["preface", "prefacio", "foreword", "prólogo", "prologo", "ackno
 LIST_START = r"^(?:\d+[.)]|\d+[–\-]\d+(?=\s+[A-Z])|[A-Za-z][.)]|\([A-Za-z]\))\s+"
 TABLE_CAPTION = r"(?imU)^\s*(?:Table|Tabla)\s+(\d+(?:[.\-–—]\d+)*(?:[A-Za-z])?)\b"
 CHAPTER = r"(?iU)^(chapter|cap[ií]tulo|kapitel)\s+(\d+)\b"
+# The form of a Roman numeral, vowels, punctuation and names of languages.
 ROMAN = r"(?i)^M{0,3}(CM|CD|D?C{0,3})(XC|XL|L?X{0,3})(IX|IV|V?I{0,3})$"
 VOWELS = "aeiouyáéíóúüAEIOUYÁÉÍÓÚÜ"
 PUNCTUATION = ".,;:!?()[]{}\"'"
 LANGUAGES = {"en": "en", "english": "en", "es": "es", "spanish": "es", "ca": "ca", "catalan": "ca"}
 
 
+def strip(text: Column | str) -> Column:
+    """text without white space of any kind, line ends included, at its ends; F.trim() takes off U+0020 only."""
+    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
 def no_spaces(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), r"(?U)\s+", "")
 
@@ -42,7 +48,7 @@ def passage_kind(path: Column) -> Column:
 
 def excluded_section(path: Column) -> Column:
     """Whether any title of the path is one of the contents or index titles; inner white space counts."""
-    return F.coalesce(F.exists(path, lambda t: F.lower(F.trim(t)).isin(EXCLUDED)), F.lit(False))
+    return F.coalesce(F.exists(path, lambda t: F.lower(strip(t)).isin(EXCLUDED)), F.lit(False))
 
 
 def roman_value(text: Column) -> Column:
@@ -59,12 +65,12 @@ def roman_value(text: Column) -> Column:
 
 
 def printed_number(text: Column) -> Column:
-    """struct(kind, value) of a printed page number: arabic, ``prefix:<p>`` or roman; null if it is none."""
-    own = F.trim(text)
+    """struct(kind, value) of a printed page number: arabic, ``prefix:<letters and sign>`` or roman; null if it is none."""
+    own = strip(text)
     number = lambda kind, value: F.struct(kind.alias("kind"), value.cast("int").alias("value"))
     return (
         F.when(own.rlike(r"^[0-9]{1,5}$"), number(F.lit("arabic"), own))
-        .when(own.rlike(r"^[A-Za-z]{1,8}[:-][0-9]{1,5}$"), number(F.concat(F.lit("prefix:"), F.lower(F.regexp_extract(own, r"^([A-Za-z]+)", 1))), F.regexp_extract(own, r"([0-9]+)$", 1)))
+        .when(own.rlike(r"^[A-Za-z]{1,8}[:-][0-9]{1,5}$"), number(F.concat(F.lit("prefix:"), F.regexp_extract(own, r"^([A-Za-z]+[:-])", 1)), F.regexp_extract(own, r"([0-9]+)$", 1)))
         .when((own != "") & own.rlike(ROMAN), number(F.lit("roman"), roman_value(own)))
     )
 
@@ -86,24 +92,24 @@ def format_number(kind: Column, value: Column, example: Column) -> Column:
     return (
         F.when(kind == "arabic", value.cast("string"))
         .when(kind == "roman", F.when(example == F.lower(example), F.lower(numeral)).otherwise(numeral))
-        .when(kind.startswith("prefix:"), F.concat(F.regexp_extract(example, r"^([A-Za-z]+[:-])", 1), value.cast("string")))
+        .when(kind.startswith("prefix:"), F.concat(F.regexp_replace(kind, "^prefix:", ""), value.cast("string")))
     )
 
 
 def join_lines(lines: Column) -> Column:
     """Lines as one text: a hyphen before a lower-case start is taken out, else a space stands between."""
     return F.aggregate(
-        F.transform(lines, lambda x: F.trim(x)),
+        F.transform(lines, lambda x: strip(x)),
         F.lit(""),
         lambda text, line: F.when(text.rlike("[-\\u00ad]$") & line.rlike(r"(?U)^\p{Ll}"), F.concat(F.substring(text, F.lit(1), F.length(text) - 1), line)).otherwise(
-            F.trim(F.concat(text, F.lit(" "), line))
+            strip(F.concat(text, F.lit(" "), line))
         ),
     )
 
 
 def margin_key(text: Column) -> Column:
     """What a repeated margin line has in common: case, white space and digits are evened out."""
-    return F.regexp_replace(F.trim(F.regexp_replace(F.lower(text), r"(?U)\s+", " ")), r"[0-9]+", "#")
+    return F.regexp_replace(strip(F.regexp_replace(F.lower(text), r"(?U)\s+", " ")), r"[0-9]+", "#")
 
 
 def passage_label(book: Column, start: Column, end: Column, first: Column, last: Column, reason: Column) -> Column:
@@ -156,12 +162,15 @@ def language_code(language: Column) -> Column:
 
 def parse_grade(reply: Column) -> Column:
     """yes is true, no is false, all else null."""
-    own = F.lower(F.trim(reply))
+    own = F.lower(strip(reply))
     return F.when(own == "yes", F.lit(True)).when(own == "no", F.lit(False))
 
 
 def reading_lines(text: Column) -> Column:
-    return F.transform(F.split(text, r"\r\n|\r|\n"), lambda x: F.trim(F.replace(x, F.lit("Copyrighted material"), F.lit(""))))
+    """Lines of a reading, at line ends of any kind, without the preview's mark and white space at their ends."""
+    parts = F.split(text, "\r\n|[\n\r\x0b\x0c\x1c-\x1e\u0085\u2028\u2029]", -1)
+    whole = F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    return F.transform(whole, lambda x: strip(F.replace(x, F.lit("Copyrighted material"), F.lit(""))))
 
 
 def nonwords(text: Column) -> Column:
@@ -183,11 +192,11 @@ def failed_rules(text: Column, source: Column, ink: Column, finish: Column, lang
     share = quality["bad"] / F.greatest(quality["n"], F.lit(1))
     some = F.exists(neighbours, lambda n: F.exists(n["candidates"], lambda c: F.exists(candidates, lambda o: o["kind"] == c["kind"])))
     agree = F.exists(neighbours, lambda n: F.exists(n["candidates"], lambda c: F.exists(candidates, lambda o: (o["kind"] == c["kind"]) & (o["value"] + n["offset"] == c["value"]))))
-    shown = ocr & (ink | (F.trim(text) != ""))
+    shown = ocr & (ink | (strip(text) != ""))
     rules = [
         ("token-limit", (source == "ocr") & (finish == "length")),
         ("page-timeout", (source == "ocr") & (finish == "timeout")),
-        ("empty-ink", ink & (F.length(F.trim(text)) < 40)),
+        ("empty-ink", ink & (F.length(strip(text)) < 40)),
         ("language", ocr & (F.length(text) >= 1000) & ~detected.eqNullSafe(language)),
         ("nonwords", ocr & (quality["n"] >= 50) & (share > 0.5)),
         ("number-missing", shown & (F.size(candidates) == 0)),
@@ -202,13 +211,40 @@ def needs_rotation(rules: Column) -> Column:
 
 
 def rate_text(hits: Column, n: Column) -> Column:
-    return F.when(n == 0, F.lit("0/0")).otherwise(F.concat(hits.cast("string"), F.lit("/"), n.cast("string"), F.lit(" ("), F.round(100 * hits / n).cast("int").cast("string"), F.lit("%)")))
+    return F.when(n == 0, F.lit("0/0")).otherwise(F.concat(hits.cast("string"), F.lit("/"), n.cast("string"), F.lit(" ("), F.bround(100 * hits / n).cast("int").cast("string"), F.lit("%)")))
 
 
 def without_nul(text: Column) -> Column:
     return F.replace(text, F.char(F.lit(0)), F.lit(""))
 
 
+def map_without_nul(values: Column) -> Column:
+    """A map of strings without U+0000 in its keys and values; of keys that become equal the last stays."""
+    entries = F.transform(F.map_entries(values), lambda e: F.struct(without_nul(e["key"]).alias("key"), without_nul(e["value"]).alias("value")))
+    keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
+    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)["value"]))
+
+
+def caption_identifier(text: Column) -> Column:
+    """Identifier of a caption at the start of a text; null without one."""
+    return F.nullif(F.regexp_extract(text, CAPTION, 1), F.lit(""))
+
+
+def table_identifiers(text: Column) -> Column:
+    """Identifiers of the table captions that start lines of a text, in order."""
+    return F.regexp_extract_all(text, F.lit(TABLE_CAPTION), F.lit(1))
+
+
+def kind_label(kind: Column, source: Column) -> Column:
+    """What a reader is shown of a passage's kind and of a read text: `` (kind)`` and `` (OCR)``, nothing for content."""
+    return F.concat(F.when(kind == "content", "").otherwise(F.concat(F.lit(" ("), kind, F.lit(")"))), F.when(source.isin("ocr", "inherited-ocr"), " (OCR)").otherwise(""))
+
+
+def clamped_page(page: Column, last: Column) -> Column:
+    """A page within 1 and the last."""
+    return F.greatest(F.lit(1), F.least(page, last))
+
+
 def link_segments(text: Column, links: Column) -> Column:
     """text cut at its links (array<struct<start, end, target>>, code points): array<struct<text, target>> whose texts join to it.
 

@@ -57,3 +57,8 @@ def answer_holds(answer: Column, numbers: Column) -> Column:
 def answer_text(answer: Column) -> Column:
     line = lambda s: F.concat(F.trim(s["text"]), F.lit(" "), F.array_join(F.transform(s["citations"], lambda c: F.concat(F.lit("["), c, F.lit("]"))), ""))
     return F.array_join(F.transform(answer["sentences"], line), "\n")
+
+
+def with_role(text: Column, role: str, enabled: bool) -> Column:
+    """The text that is embedded: with its role before it where the model asks for roles."""
+    return F.concat(F.lit(f"{role}: "), text) if enabled else text

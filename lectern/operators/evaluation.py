@@ -62,7 +62,7 @@ def hits_by_dimension(scored: DataFrame, dimensions: list[str]) -> DataFrame:
 
 def spread(value: str) -> list[Column]:
     """n, least, median and largest of a column, to 4 decimals; only n is set for no values."""
-    return [F.count(value).alias("n"), F.round(F.min(value), 4).alias("min"), F.round(F.median(value), 4).alias("median"), F.round(F.max(value), 4).alias("max")]
+    return [F.count(value).alias("n"), F.bround(F.min(value), 4).alias("min"), F.bround(F.median(value), 4).alias("median"), F.bround(F.max(value), 4).alias("max")]
 
 
 def compare_runs(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
@@ -147,3 +147,47 @@ def run_counts(records: DataFrame, quarantine: DataFrame, scored: DataFrame, sta
     )
     bad = quarantine.agg(F.count("*").alias("malformed"))
     return sums.join(F.broadcast(bad)).withColumn("read", F.col("records") + F.col("malformed")).drop("records")
+
+
+def active(records: DataFrame) -> DataFrame:
+    """Records that are not retired; none left is an error."""
+    found = records.where(F.col("status") != "retired")
+    if found.isEmpty():
+        raise ValueError("the set has no active record")
+    return found
+
+
+def first_asked(records: DataFrame, n: int = 20) -> DataFrame:
+    """The first n records (line, ...) in the order of their file; timings are taken over these."""
+    return records.orderBy("line").limit(n)
+
+
+def same_ids(a: DataFrame, b: DataFrame, key: str = "qid") -> bool:
+    """Whether two tables have the same set of ids."""
+    return a.select(key).distinct().join(b.select(key).distinct(), key, "full").agg(F.count("*")).first()[0] == a.select(key).distinct().join(b.select(key), key, "left_semi").count()
+
+
+def held_in(part: DataFrame, whole: DataFrame, key: str = "qid") -> bool:
+    """Whether every id of part is in whole."""
+    return part.select(key).join(whole.select(key), key, "left_anti").isEmpty()
+
+
+def figure_gate(baseline: DataFrame, candidate: DataFrame, cohort: DataFrame, overall: int, within: int) -> DataFrame:
+    """Two runs (qid, hit5, hit10) of the same questions and a cohort (qid) of them -> one row for each run: counts, floors, passed.
+
+    Runs of other questions, or a cohort that isn't part of them, are errors, and so is a
+    baseline that misses its own floors.
+    """
+    if not same_ids(baseline, candidate) or not held_in(cohort, baseline):
+        raise ValueError("both runs need the same questions, and the cohort among them")
+    rows = cohort_gate(baseline, cohort, overall, within).withColumn("run", F.lit("baseline"))
+    if not rows.first()["passed"]:
+        raise ValueError("the baseline misses its own floors")
+    return rows.unionByName(cohort_gate(candidate, cohort, overall, within).withColumn("run", F.lit("candidate")))
+
+
+def write_run(scored: DataFrame, path: str, kind: str, purpose: str, set_version: int, roles: bool = False, version: int = 1) -> None:
+    """A run as JSON lines: ids and numbers only, with what it was made by; a path that exists is an error."""
+    kept = [f.name for f in scored.schema.fields if f.name == "qid" or f.dataType.typeName() != "string"]
+    about = {"kind": kind, "format": version, "purpose": purpose, "set_version": set_version, "roles": roles}
+    scored.select(*kept).withColumns({k: F.lit(v) for k, v in about.items()}).write.mode("errorifexists").json(path)

@@ -15,7 +15,7 @@ def log_listing(log: DataFrame, labels: DataFrame, since: str | None = None, unt
     if until:
         rows = rows.where(day <= F.lit(until).cast("date"))
     state = F.when(F.col("expect_not_found").isNull(), F.lit("unlabelled")).when(F.col("expect_not_found"), F.lit("out of the sources")).otherwise(F.lit("in scope"))
-    own = labels.select(F.col("log_id").alias("id"), "expect_not_found")
+    own = labels.groupBy(F.col("log_id").alias("id")).agg(F.max("expect_not_found").alias("expect_not_found"))  # one label to a question
     return rows.join(own, "id", "left").withColumn("state", state).drop("expect_not_found")
 
 
@@ -46,7 +46,7 @@ def recover(logged: DataFrame, *tables: DataFrame) -> DataFrame:
     rows = logged
     columns = ["book_id", "pdf_start", "pdf_end"]
     for k, t in enumerate(tables):
-        rows = rows.join(t.select("id", F.struct(*columns).alias(f"_n{k}")), "id", "left")
+        rows = rows.join(t.groupBy("id").agg(F.min(F.struct(*columns)).alias(f"_n{k}")), "id", "left")
     node = F.coalesce(*[F.col(f"_n{k}") for k in range(len(tables))])
     return rows.withColumn("_n", node).select(*logged.columns, *[F.col(f"_n.{c}").alias(c) for c in columns])
 
@@ -65,3 +65,12 @@ def label_pages(labels: DataFrame, changes: DataFrame) -> DataFrame:
     records = books.groupBy("log_id").agg(F.sort_array(F.collect_list(F.struct("book", "pages"))).alias("evidence")).withColumn("expect_not_found", F.lit(False))
     outside = whole.where("action = 'outside'").select("log_id", F.array().cast(records.schema["evidence"].dataType).alias("evidence"), F.lit(True).alias("expect_not_found"))
     return records.unionByName(outside)
+
+
+def expected_pages(evidence: DataFrame, books: DataFrame) -> DataFrame:
+    """evidence (qid, book: as evaluation sets name it, pages array<int>), books (id, eval_book) -> (qid, book_id, page), each once.
+
+    Books that the catalogue doesn't map are dropped.
+    """
+    known = books.where("eval_book is not null").select(F.col("eval_book").alias("book"), F.col("id").alias("book_id"))
+    return evidence.join(known, "book").select("qid", "book_id", F.explode("pages").alias("page")).distinct()

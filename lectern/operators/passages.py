@@ -63,7 +63,11 @@ def join_across_pages(passages: DataFrame, hidden: DataFrame | None = None) -> D
     own = passages.withColumn("sure", sure)
     if hidden is not None:
         marks = own.select("book_id", "ord", "pdf_start", F.lag("pdf_end").over(w).alias("prev_end"))
-        between = marks.join(hidden.select("book_id", "pdf_page"), "book_id").where("pdf_page > prev_end and pdf_page < pdf_start").select("book_id", "ord").distinct()
+        # Hidden pages before each place, counted along the book: more at the start than at the end before it means one between.
+        bound = marks.where("prev_end + 1 < pdf_start").select("book_id", "ord", F.explode(F.array(F.struct(F.col("prev_end").alias("at"), F.lit(-1).alias("sign")), F.struct((F.col("pdf_start") - 1).alias("at"), F.lit(1).alias("sign")))).alias("b"))
+        both = bound.select("book_id", "ord", "b.at", "b.sign", F.lit(0).alias("one")).unionByName(hidden.select("book_id", F.lit(None).cast("int").alias("ord"), F.col("pdf_page").alias("at"), F.lit(0).alias("sign"), F.lit(1).alias("one")).distinct())
+        seen = F.sum("one").over(Window.partitionBy("book_id").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        between = both.withColumn("seen", seen).where("sign != 0").groupBy("book_id", "ord").agg(F.sum(F.col("seen") * F.col("sign")).alias("n")).where("n > 0").select("book_id", "ord")
         own = own.join(between.withColumn("blocked", F.lit(True)), ["book_id", "ord"], "left")
     else:
         own = own.withColumn("blocked", F.lit(None).cast("boolean"))
@@ -146,3 +150,42 @@ def line_gap(lines: DataFrame) -> DataFrame:
 def passage_counts(passages: DataFrame) -> DataFrame:
     """Kinds of each book: passages, distinct ids and duplicates."""
     return passages.groupBy("book_id", "kind").agg(F.count("*").alias("n"), F.count_distinct("id").alias("n_ids")).withColumn("duplicates", F.col("n") - F.col("n_ids"))
+
+
+def printed_ranges(passages: DataFrame, pages: DataFrame) -> DataFrame:
+    """passages (id, book_id, pdf_start, pdf_end), pages (book_id, pdf_page, printed, reason) -> (id, first, last, reason).
+
+    The printed range is known only if no page of it has a reason; else the reasons, each
+    once and sorted, are joined. A page that is not in the table has none.
+    """
+    each = passages.select("id", "book_id", "pdf_start", "pdf_end", F.explode(F.sequence("pdf_start", "pdf_end")).alias("pdf_page"))
+    met = each.join(pages.select("book_id", "pdf_page", "printed", "reason"), ["book_id", "pdf_page"], "left")
+    at = lambda edge: F.max(F.when(F.col("pdf_page") == F.col(edge), F.col("printed")))
+    why = F.array_join(F.sort_array(F.collect_set(F.when(F.col("reason") != "", F.col("reason")))), ";")
+    sums = met.groupBy("id").agg(at("pdf_start").alias("first"), at("pdf_end").alias("last"), F.nullif(why, F.lit("")).alias("reason"))
+    known = lambda c: F.when(F.col("reason").isNull(), F.col(c)).alias(c)
+    return sums.select("id", known("first"), known("last"), "reason")
+
+
+def neighbour_candidates(pages: DataFrame) -> DataFrame:
+    """pages (book_id, pdf_page, candidates) -> with neighbours: array<struct<offset, candidates>> of the pages two before to two after that are there."""
+    w = Window.partitionBy("book_id").orderBy("pdf_page")
+    steps = [(-2, F.lag("candidates", 2)), (-1, F.lag("candidates", 1)), (1, F.lead("candidates", 1)), (2, F.lead("candidates", 2))]
+    each = [F.struct(F.lit(offset).alias("offset"), step.over(w).alias("candidates")) for offset, step in steps]
+    return pages.withColumn("neighbours", F.filter(F.array(*each), lambda n: n["candidates"].isNotNull()))
+
+
+def figure_nodes(figures: DataFrame) -> DataFrame:
+    """figures (id, book_id, label, caption, pdf_page, printed, legend_page, legend_printed) -> index rows (id, book_id, kind, pdf_start, pdf_end, printed, text, caption, figure_page).
+
+    A figure cites the page of its legend if it has one, and keeps that of its plate; its text is the label and the caption.
+    """
+    clean = lambda c: F.replace(F.col(c), F.char(F.lit(0)), F.lit(""))
+    page = F.coalesce("legend_page", "pdf_page")
+    printed = F.when(F.col("legend_page").isNotNull(), F.col("legend_printed")).otherwise(F.col("printed"))
+    return figures.select("id", "book_id", F.lit("figure").alias("kind"), page.alias("pdf_start"), page.alias("pdf_end"), printed.alias("printed"), F.concat(clean("label"), F.lit("\n\n"), clean("caption")).alias("text"), clean("caption").alias("caption"), F.col("pdf_page").alias("figure_page"))
+
+
+def index_rows(passages: DataFrame, figures: DataFrame) -> DataFrame:
+    """Passages and, after them, figures as one table; columns that one lacks are null."""
+    return passages.unionByName(figure_nodes(figures), allowMissingColumns=True)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import FIGURE_ID, figure_key, language_code
 from ..functions.vectors import top_k
 
+# Kinds that are searched, and words of a neighbour that are shown.
 SEARCH_KINDS = ("content", "summary", "glossary")
 NEIGHBOUR_WORDS = 120
 #: A printed mention of a figure.
@@ -76,3 +77,37 @@ def group_evidence(candidates: DataFrame, question_language: str = "en") -> Data
     order = Window.partitionBy("qid").orderBy(F.desc_nulls_last("best"), "book_pos", F.desc_nulls_last("score"), "rank")
     offered = ~language_code(F.col("language")).eqNullSafe(F.lit(question_language))
     return ranked.withColumns({"number": F.row_number().over(order), "translation_available": offered}).drop("best", "book_pos")
+
+
+def with_links(candidates: DataFrame, links: DataFrame) -> DataFrame:
+    """candidates (book_id, id, ...) with links: array<struct<start, end, kind, target>> of links (book_id, id, start, end, kind, target), empty without any."""
+    own = links.groupBy("book_id", "id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind", "target"))).alias("links"))
+    met = candidates.join(own, ["book_id", "id"], "left")
+    return met.withColumn("links", F.coalesce("links", F.array().cast(own.schema["links"].dataType)))
+
+
+def with_flags(candidates: DataFrame, flags: DataFrame) -> DataFrame:
+    """candidates (qid, rank, ...) with the flag of the same place in flags (qid, rank, flag); another number of them is an error."""
+    met = candidates.withColumn("_c", F.lit(True)).join(flags.select("qid", "rank", "flag", F.lit(True).alias("_f")), ["qid", "rank"], "full")
+    whole = F.assert_true(F.col("_c").isNotNull() & F.col("_f").isNotNull(), "as many flags as candidates are needed")
+    return met.withColumn("_ok", whole).where("_ok is null").select(*candidates.columns, "flag")
+
+
+def evidence_of(nodes: DataFrame) -> DataFrame:
+    """nodes (id, text, metadata: JSON) -> the fields that evidence shows, with defaults for what older metadata lacks.
+
+    The text is the caption where there is one.
+    """
+    field = lambda name: F.get_json_object("metadata", f"$.{name}")
+    return nodes.select(
+        "id",
+        F.coalesce(field("caption"), F.col("text")).alias("text"),
+        field("book_id").alias("book_id"),
+        F.coalesce(field("kind"), F.lit("content")).alias("kind"),
+        F.coalesce(field("text_source"), F.lit("born-digital")).alias("text_source"),
+        field("pdf_start").cast("int").alias("pdf_start"),
+        F.coalesce(field("pdf_end"), field("pdf_start")).cast("int").alias("pdf_end"),
+        F.coalesce(field("check_page").cast("boolean"), F.lit(False)).alias("check_page"),
+        F.coalesce(F.from_json(field("section_path"), "array<string>"), F.array().cast("array<string>")).alias("section_path"),
+        F.coalesce(F.from_json(field("figures"), "array<string>"), F.array().cast("array<string>")).alias("figures"),
+    )

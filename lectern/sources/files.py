@@ -82,3 +82,11 @@ def kept_records(spark: SparkSession, path: str, schema: str, version: str) -> D
 def binary_pages(spark: SparkSession, path: str, pattern: str = "*.png") -> DataFrame:
     """Page images (path, length, content) for functions over binary columns."""
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "length", "content")
+
+
+def label_lines(lines: DataFrame) -> DataFrame:
+    """lines (line, value) of a label file -> records; any malformed line or repeated id fails the whole load. Blank lines are skipped."""
+    records, bad = eval_lines(lines)
+    if first := bad.orderBy("line").first():
+        raise ValueError(f"label {first['name']}: {first['reason']}")
+    return records

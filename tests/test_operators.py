@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,8 +120,34 @@ def test_breadcrumbs_prefixes_and_figures(spark):
     ("See Figure 3.1, 3.2 and 4a.", [("figure", "3.1"), ("figure", "3.2"), ("figure", "4a")]), ("fig 7-2 y 7-3", [("figure", "7-2"), ("figure", "7-3")]), ("tabla 4; Tables 5 and 6", [("table", "4"), ("table", "5"), ("table", "6")]),
     ("pp. 12-14", [("page", "12")]), ("páginas 3, 4", [("page", "3"), ("page", "4")]), ("capítulo 9", [("chapter", "9")]), ("sección 2.1", [("section", "2.1")]), ("no figures here", []), ("", []),
 ])
-def test_references(text, found):
-    assert [r[2:] for r in navigation.find_in(text)] == found
+def test_references(spark, text, found):
+    got = navigation.find_references(spark.createDataFrame([(text,)], "text string")).collect()
+    assert [(r["kind"], r["identifier"]) for r in got] == found
+
+
+HEAD = {k: re.compile(rf"\b{p}\s*({navigation.IDENTIFIER})\b", re.I) for k, p in navigation.PREFIXES.items()}
+MORE = re.compile(rf"{navigation.SEPARATOR}({navigation.IDENTIFIER})\b", re.I)
+
+
+def mentions(text):
+    """Plain version: each head, then identifiers for as long as one follows at once."""
+    out = []
+    for kind, head in HEAD.items():
+        for m in head.finditer(text):
+            spans = [(m.start(), m.end(), re.split("[-–—]", m[1])[0] if kind == "page" else m[1])]
+            while more := MORE.match(text, spans[-1][1]):
+                spans.append((*more.span(1), more[1]))
+            out += [(a, b, kind, name) for a, b, name in spans]
+    return sorted(out)
+
+
+def test_references_equal_the_plain_version(spark):
+    rnd = random.Random(3)
+    parts = ["Figure ", "fig. ", "Tabla ", "pp. ", "páginas ", "chapter ", "secciones ", "3", "3.1", "7-2", "4a", "12–14", ", ", " and ", " y ", ", e ", "x", "é", "\0", "\n", "p.", "FIG", "٣"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 14))) for _ in range(600)]
+    got = navigation.find_references(spark.createDataFrame(list(enumerate(texts)), "i int, text string")).collect()
+    want = sorted((i, *m) for i, t in enumerate(texts) for m in mentions(t.replace("\0", "")))
+    assert sorted((r["i"], r["start"], r["end"], r["kind"], r["identifier"]) for r in got) == want and len(want) > 300
 
 
 def test_references_are_found_in_whole_texts(spark, tmp_path):
@@ -126,7 +155,7 @@ def test_references_are_found_in_whole_texts(spark, tmp_path):
     docs = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
     spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
     said = {r["doc_id"]: r["text"] for r in queries._mentions(spark, str(tmp_path)).collect()}
-    want = sorted((i, kind, name, start) for i, t in said.items() for start, _, kind, name in navigation.find_in(t))
+    want = sorted((i, kind, name, start) for i, t in said.items() for start, _, kind, name in mentions(t))
     assert rows(queries.references_found(spark, str(tmp_path)), "doc_id", "kind", "identifier", "start") == want
     assert [w[1:3] for w in want if w[3] >= 60] == [("figure", "3.1"), ("page", "12")]
     assert rows(queries._resolved(spark, str(tmp_path)), "doc_id", "kind", "identifier", "start") == want
@@ -236,3 +265,98 @@ def test_caches_by_fingerprint(spark):
     two = store.fingerprints(inputs.orderBy(F.desc("file")).union(spark.createDataFrame([("c", "f9", 1)], inputs.schema)), ["book_id"], ["file", "size"])
     cache = one.withColumn("pages", F.lit("kept"))
     assert rows(store.fresh(cache, one, ["book_id"]), "book_id") == [("b",), ("c",)] and rows(store.fresh(cache, two, ["book_id"]), "book_id") == [("b",)]
+
+
+def test_merge_update_doubles_no_row(spark):
+    stored = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "k int, v string, w string")
+    changes = spark.createDataFrame([(1, "c", None, 1), (1, "d", None, 2), (1, None, "z", 3), (9, "q", "q", 1)], "k int, v string, w string, t int")
+    assert rows(store.merge_update(stored, changes, ["k"], ["v", "w"], "t"), "k", "v", "w") == [(1, "d", "z"), (2, "b", "y")]
+
+
+def test_repeated_labels_and_ids_double_no_row(spark):
+    log = spark.createDataFrame([(1, "2024-01-05 10:00:00")], "id int, asked_at string")
+    marks = spark.createDataFrame([(1, True), (1, True)], "log_id int, expect_not_found boolean")
+    assert labels.log_listing(log, marks).count() == 1
+    nodes = spark.createDataFrame([("n", "b", 1, 2), ("n", "b", 1, 2)], "id string, book_id string, pdf_start int, pdf_end int")
+    assert labels.recover(spark.createDataFrame([("q", "n", 1)], "qid string, id string, rank int"), nodes).count() == 1
+
+
+def test_export_leaves_nothing_aside(spark, tmp_path):
+    one = spark.createDataFrame([(1,), (2,)], "a int")
+    for _ in range(2):
+        assert store.export(one, f"{tmp_path}/x", ["a"]) == 2
+    assert [p.name for p in tmp_path.iterdir()] == ["x"] and spark.read.text(f"{tmp_path}/x").count() == 2
+
+
+def test_printed_ranges(spark):
+    pages = spark.createDataFrame([("b", 1, "i", None), ("b", 2, "ii", None), ("b", 3, None, "z"), ("b", 4, None, "a"), ("b", 5, "v", "")], "book_id string, pdf_page int, printed string, reason string")
+    own = spark.createDataFrame([("p", "b", 1, 2), ("q", "b", 2, 4), ("r", "b", 5, 5)], "id string, book_id string, pdf_start int, pdf_end int")
+    assert rows(passages.printed_ranges(own, pages), "id", "first", "last", "reason") == [("p", "i", "ii", None), ("q", None, None, "a;z"), ("r", "v", "v", None)]
+
+
+def test_join_stops_at_hidden_pages(spark):
+    shape = "book_id string, ord int, pdf_start int, pdf_end int, section_path array<string>, kind string, text string, ocr boolean, check_page boolean"
+    own = spark.createDataFrame([("b", i, p, p, ["s"], "content", f"and so {i}", False, False) for i, p in enumerate([1, 3, 4, 7])], shape)
+    hidden = spark.createDataFrame([("b", 2), ("b", 9), ("c", 5)], "book_id string, pdf_page int")
+    assert rows(passages.join_across_pages(own, hidden), "pdf_start", "pdf_end", "n_parts") == [(1, 1, 1), (3, 7, 3)]
+
+
+def test_figure_nodes_follow_passages(spark):
+    figures = spark.createDataFrame([("f", "b", "Fig 1", "cap\0", 9, "8", 8, "7"), ("g", "b", "Fig 2", "c", 9, "8", None, None)], "id string, book_id string, label string, caption string, pdf_page int, printed string, legend_page int, legend_printed string")
+    both = passages.index_rows(spark.createDataFrame([("p", "b", "content", "t")], "id string, book_id string, kind string, text string"), figures)
+    assert rows(both, "id", "kind", "pdf_start", "text") == [("f", "figure", 8, "Fig 1\n\ncap"), ("g", "figure", 9, "Fig 2\n\nc"), ("p", "content", None, "t")]
+
+
+def test_links_flags_and_evidence(spark):
+    found = spark.createDataFrame([("q", 1, "b", "x"), ("q", 2, "b", "y")], "qid string, rank int, book_id string, id string")
+    links = spark.createDataFrame([("b", "x", 5, 6, "page", "t"), ("b", "x", 1, 2, "figure", "u")], "book_id string, id string, start int, end int, kind string, target string")
+    got = {r["id"]: [x["start"] for x in r["links"]] for r in retrieval.with_links(found, links).collect()}
+    assert got == {"x": [1, 5], "y": []}
+    flags = spark.createDataFrame([("q", 1, True), ("q", 2, None)], "qid string, rank int, flag boolean")
+    assert rows(retrieval.with_flags(found, flags), "id", "flag") == [("x", True), ("y", None)]
+    with pytest.raises(Exception, match="as many flags"):
+        retrieval.with_flags(found, flags.limit(1)).collect()
+    node = spark.createDataFrame([("n", "t", '{"book_id": "b", "pdf_start": 3, "caption": "c"}')], "id string, text string, metadata string")
+    r = retrieval.evidence_of(node).first()
+    assert (r["text"], r["kind"], r["pdf_end"], r["figures"], r["check_page"]) == ("c", "content", 3, [], False)
+
+
+def test_gates_sets_and_runs(spark, tmp_path):
+    run = lambda hits: spark.createDataFrame([(i, i < hits, True, "words") for i in range(4)], "qid int, hit5 boolean, hit10 boolean, note string")
+    cohort = spark.createDataFrame([(0,), (1,)], "qid int")
+    gate = evaluation.figure_gate(run(4), run(2), cohort, 4, 2).collect()
+    assert [(r["run"], r["hit5"], r["passed"]) for r in gate] == [("baseline", 4, True), ("candidate", 2, True)]
+    with pytest.raises(ValueError):
+        evaluation.figure_gate(run(4), run(2).where("qid > 0"), cohort, 4, 2)
+    with pytest.raises(ValueError):
+        evaluation.figure_gate(run(4), run(2), cohort, 5, 2)
+    evaluation.write_run(run(4), f"{tmp_path}/run", "eval", "embed", 2)
+    back = spark.read.json(f"{tmp_path}/run")
+    assert "note" not in back.columns and back.where("kind = 'eval' and set_version = 2").count() == 4
+    with pytest.raises(Exception, match="exists"):
+        evaluation.write_run(run(4), f"{tmp_path}/run", "eval", "embed", 2)
+    records = spark.createDataFrame([(3, "retired"), (1, "confirmed"), (2, "draft")], "line int, status string")
+    assert evaluation.active(records).count() == 2 and [r["line"] for r in evaluation.first_asked(records, 2).collect()] == [1, 2]
+    with pytest.raises(ValueError):
+        evaluation.active(records.where("line = 3"))
+
+
+def test_expected_pages_and_store_edges(spark, tmp_path):
+    evidence = spark.createDataFrame([(1, "E", [4, 5, 4]), (1, "lost", [1])], "qid int, book string, pages array<int>")
+    books = spark.createDataFrame([("b", "E"), ("c", None)], "id string, eval_book string")
+    assert rows(labels.expected_pages(evidence, books), "qid", "book_id", "page") == [(1, "b", 4), (1, "b", 5)]
+    registry = spark.createDataFrame([("t2", "m", 3), ("t1", "a", 4)], "table_name string, model string, dimensions int")
+    assert [r["table_name"] for r in store.models(registry).collect()] == ["t1", "t2"]
+    assert store.model_of(registry, "t2", lambda t: t == "t2") == ("m", 3, True) and store.model_of(registry, "x", bool) is None
+    asked = store.question_row(spark.createDataFrame([("a\0b", "me", None)], "question string, asker string, language string")).first()
+    assert (asked["question"], asked["language"], asked["evidence"], asked["ungraded_count"]) == ("ab", "en", [], 0)
+    (tmp_path / ".git").mkdir()
+    with pytest.raises(ValueError):
+        store.outside_checkout(f"{tmp_path}/out/x")
+    grown = store.widened(spark.createDataFrame([(1,)], "a int"), spark.createDataFrame([], "a int, b string"))
+    assert grown.columns == ["a", "b"] and store.appended(spark.createDataFrame([], "a int, time timestamp"), spark.createDataFrame([(1,)], "a int")).first()["time"] is not None
+
+
+def test_numbered_tree(spark):
+    own = spark.createDataFrame([("b", "1", "One", 3), ("b", "1", "One again", 9), ("b", "1.2", "x", 4), ("b", "1.2.1.1", "y", 5), ("b", "7.1", "orphan", 6)], "book_id string, number string, title string, page int")
+    assert rows(navigation.numbered_tree(own), "number", "title", "parent", "depth") == [("1", "One", None, 1), ("1.2", "x", "1", 2), ("1.2.1.1", "y", "1.2", 3)]

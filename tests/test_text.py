@@ -25,13 +25,13 @@ def test_excluded_section_keeps_inner_spaces(spark):
     assert not one(spark, T.excluded_section(F.col("p")), p=["Con tents"])
 
 
-@pytest.mark.parametrize("text, number", [("12", ("arabic", 12)), ("xiv", ("roman", 14)), ("MCMXC", ("roman", 1990)), ("A-7", ("prefix:a", 7)), ("S:12", ("prefix:s", 12)), ("123456", None), ("IIII", None), ("", None), ("7a", None)])
+@pytest.mark.parametrize("text, number", [("12", ("arabic", 12)), ("xiv", ("roman", 14)), ("MCMXC", ("roman", 1990)), ("A-7", ("prefix:A-", 7)), ("S:12", ("prefix:S:", 12)), ("a:4", ("prefix:a:", 4)), ("\t12\n", ("arabic", 12)), ("123456", None), ("IIII", None), ("", None), ("7a", None)])
 def test_printed_number(spark, text, number):
     found = one(spark, T.printed_number(F.col("t")), t=text)
     assert (found and tuple(found)) == number
 
 
-@pytest.mark.parametrize("kind, value, example, text", [("arabic", 9, "8", "9"), ("roman", 14, "xiii", "xiv"), ("roman", 1994, "MCM", "MCMXCIV"), ("prefix:s", 4, "S-3", "S-4")])
+@pytest.mark.parametrize("kind, value, example, text", [("arabic", 9, "8", "9"), ("roman", 14, "xiii", "xiv"), ("roman", 1994, "MCM", "MCMXCIV"), ("prefix:S-", 4, "S-3", "S-4")])
 def test_format_number(spark, kind, value, example, text):
     assert one(spark, T.format_number(F.col("k"), F.col("v"), F.col("e")), k=kind, v=value, e=example) == text
 
@@ -98,3 +98,25 @@ def test_link_segments_part_the_text(spark):
 def test_rates_and_nul(spark):
     assert one(spark, T.rate_text(F.lit(2), F.lit(3))) == "2/3 (67%)" and one(spark, T.rate_text(F.lit(0), F.lit(0))) == "0/0"
     assert one(spark, T.without_nul(F.lit("a\0b"))) == "ab"
+
+
+@pytest.mark.parametrize("reply, grade", [("yes\n", True), ("\tNO\r\n", False), ("\u00a0yes\u2028", True), ("yes.", None), ("", None), (None, None)])
+def test_grades_without_white_space_of_any_kind(spark, reply, grade):
+    assert spark.createDataFrame([(reply,)], "r string").select(T.parse_grade(F.col("r"))).first()[0] is grade
+
+
+@pytest.mark.parametrize("hits, n, text", [(1, 8, "1/8 (12%)"), (5, 8, "5/8 (62%)"), (3, 8, "3/8 (38%)"), (0, 0, "0/0")])
+def test_rates_round_halves_to_even(spark, hits, n, text):
+    assert spark.createDataFrame([(hits, n)], "h int, n int").select(T.rate_text(F.col("h"), F.col("n"))).first()[0] == text
+
+
+@pytest.mark.parametrize("text", ["a\x0bb\x0cc\x85d\u2028e\r\n f\t\n", "", "x\n\ny", "\n", "one Copyrighted material", "a\x1cb"])
+def test_reading_lines_split_and_strip_at_every_line_end(spark, text):
+    got = spark.createDataFrame([(text,)], "t string").select(T.reading_lines(F.col("t"))).first()[0]
+    assert got == [x.replace("Copyrighted material", "").strip() for x in text.splitlines()]
+
+
+def test_captions_and_nul(spark):
+    df = spark.createDataFrame([("Figura 3-12 x", "Table 2.1 a\nb\n tabla 7: c", {"a\0": "x\0y", "b": "z"})], "c string, t string, m map<string,string>")
+    r = df.select(T.caption_identifier(F.col("c")), T.caption_identifier(F.col("t")), T.table_identifiers(F.col("t")), T.map_without_nul(F.col("m"))).first()
+    assert tuple(r) == ("3-12", None, ["2.1", "7"], {"a": "xy", "b": "z"})
