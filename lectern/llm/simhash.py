@@ -109,17 +109,20 @@ def dealt(rows: DataFrame, n: int) -> DataFrame:
     return rows.repartition(1 + n // FANNED)
 
 
-def spread_join(rows: DataFrame, of_key: DataFrame, key: str, other: str) -> DataFrame:
+def spread_join(rows: DataFrame, of_key: DataFrame, key: str, other: str, at_once: int | None = None) -> DataFrame:
     """rows (written) joined to of_key where rows.key = of_key.other, so that no key's rows all meet in one task.
 
-    The rows of a hot key stay where they are and the few rows of of_key that they need are broadcast.
+    The rows of a hot key stay where they are and the few rows of of_key that they need are
+    broadcast. With ``at_once`` a task has about so many rows, as where of_key holds long arrays.
     """
-    hot = F.count("*") > max(HOT_ROWS, rows.count() // HOT_SHARE)
+    n, same = rows.count(), F.col(key) == F.col(other)
+    hot = F.count("*") > max(HOT_ROWS, n // HOT_SHARE)
     often = [r[0] for r in rows.where(F.col(key).isNotNull()).groupBy(key).agg(hot.alias("hot")).where("hot").collect()]
+    parts = lambda some: some.repartition(1 + n // at_once, key) if at_once else some
     if not often:
-        return rows.join(of_key, F.col(key) == F.col(other))
-    near = rows.where(F.col(key).isin(often)).join(F.broadcast(of_key.where(F.col(other).isin(often))), F.col(key) == F.col(other))
-    return near.unionByName(rows.where(~F.col(key).isin(often)).join(of_key.where(~F.col(other).isin(often)), F.col(key) == F.col(other)))
+        return parts(rows).join(of_key, same)
+    near = rows.where(F.col(key).isin(often)).join(F.broadcast(of_key.where(F.col(other).isin(often))), same)
+    return near.unionByName(parts(rows.where(~F.col(key).isin(often))).join(of_key.where(~F.col(other).isin(often)), same))
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 2) -> DataFrame:
@@ -151,6 +154,8 @@ SLOTS = 1 << 18
 PARITY = 1_024
 #: Rows of signatures that a worker holds.
 ROWS_AT_ONCE = 1_024
+#: Pairs, each with its sets of shingles, that one task compares.
+PAIRS_AT_ONCE = 2_000
 #: Sets of shingles that are sorted at once.
 SETS_AT_ONCE = 128
 _TURNS = np.array([int.from_bytes(xxhash.xxh64_digest(b"sample", i), "little") | 1 for i in range(SAMPLES)], np.uint64)
@@ -304,10 +309,12 @@ def apart(sets: DataFrame, similarity: float) -> DataFrame:
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float, hubs: bool = False) -> DataFrame:
     """The pairs (a, b; written) whose sets of shingles have the similarity. Only with ``hubs`` may an a be in many pairs."""
     side = lambda s: sets.select(F.col("words").alias("_w"), F.col("shingles").alias(f"_{s}"))
-    one = spread_join(pairs, side("b"), "b", "_w").drop("_w")
+    one = spread_join(pairs, side("b"), "b", "_w", PAIRS_AT_ONCE).drop("_w")
     if hubs:
         one = cut(one)
-    both = spread_join(one, side("a"), "a", "_w") if hubs else one.join(side("a"), F.col("a") == F.col("_w"))
+        both = spread_join(one, side("a"), "a", "_w", PAIRS_AT_ONCE)
+    else:
+        both = one.repartition(1 + pairs.count() // PAIRS_AT_ONCE, "a").join(side("a"), F.col("a") == F.col("_w"))
     found = cut(both.where(likeness(F.col("_a"), F.col("_b")) >= similarity).select("a", "b"))
     release(one)
     return found
