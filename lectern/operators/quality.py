@@ -23,13 +23,15 @@ def reasons(readings: DataFrame) -> DataFrame:
 def indexed_quantiles(values: DataFrame, value: str, by: list[str], points: tuple[float, ...] = (0, 0.5, 0.9, 0.95, 0.99, 1)) -> DataFrame:
     """Value at index int((n - 1) * q) of the sorted values of each group, for each q: (by, q, value).
 
-    Ranks are found by a window and kept where a point asks for them, so that no group's
-    values are gathered in one row.
+    Equal values are counted before anything is sorted, so that a group costs its distinct
+    values: they are ranked by running sums, and those that a point falls on are kept.
     """
+    counts = values.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
     w = Window.partitionBy(*by)
-    ranked = values.where(F.col(value).isNotNull()).withColumns({"_r": F.row_number().over(w.orderBy(value)) - 1, "_n": F.count("*").over(w)})
+    ranked = counts.withColumns({"_to": F.sum("_c").over(w.orderBy(value)), "_n": F.sum("_c").over(w)})
     asked = F.explode(F.array(*[F.struct(F.lit(float(q)).alias("q"), F.floor((F.col("_n") - 1) * F.lit(float(q))).alias("at")) for q in points])).alias("p")
-    return ranked.select(*by, value, "_r", asked).where("_r = p.at").select(*by, F.col("p.q").alias("q"), F.col(value).alias("value"))
+    found = ranked.select(*by, value, "_c", "_to", asked).where("p.at < _to and p.at >= _to - _c")
+    return found.select(*by, F.col("p.q").alias("q"), F.col(value).alias("value"))
 
 
 def best_attempt(attempts: DataFrame) -> DataFrame:

@@ -644,3 +644,42 @@ def heading_sections(spark, sf_dir):
     rows = lines(spark, sf_dir).withColumns({"size": F.lit(10.0), "bookmark": F.when(F.col("pos") == 0, F.array(F.concat(F.lit("Chapter "), F.col("pdf_page").cast("string"))))})
     found = layout.sections(rows.select("book_id", "pdf_page", "pos", "text", "size", "bookmark"))
     return found.select("book_id", "pdf_page", "pos", F.array_join("path", " > ").alias("path"))
+
+
+@query(
+    """with r as (select conv_id, turn, case turn % 3 when 0 then true when 1 then false end as grade, case when turn % 2 = 0 then 'A-' else 'a:' end as mark from conversations)
+select conv_id, turn, grade, 'prefix:' || mark as kind, cast(turn as integer) as value, mark || cast(turn + 1 as varchar) as next,
+  case when turn > 8 then null else cast(turn as varchar) || '/8 (' || cast(cast(round_even(100.0 * turn / 8, 0) as integer) as varchar) || '%)' end as rate from r"""
+)
+def text_edges(spark, sf_dir):
+    """Replies with line ends, numbers with prefixes of both cases and signs, and rates that fall on halves."""
+    turn = F.col("turn")
+    reply = F.when(turn % 3 == 0, "\n yes\r\n").when(turn % 3 == 1, "\u00a0NO\t").otherwise("yes\nno")
+    number = T.printed_number(F.concat(F.lit("\t"), F.when(turn % 2 == 0, "A-").otherwise("a:"), turn.cast("string"), F.lit("\n")))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", T.parse_grade(reply).alias("grade"), number.alias("n"))
+    following = T.format_number(F.col("n.kind"), F.col("n.value") + 1, F.lit("A-1"))
+    return rows.select("conv_id", "turn", "grade", "n.kind", "n.value", following.alias("next"), F.when(turn <= 8, T.rate_text(turn, F.lit(8))).alias("rate"))
+
+
+@query(
+    f"""with p as (select source || '-' || cast(doc_id // {BOOK} as varchar) as b, doc_id, case when doc_id % 11 != 0 then cast(doc_id % 50 as varchar) end as printed,
+  case when doc_id % 22 = 0 then 'hidden' when doc_id % 11 = 0 then 'no-header-number' end as reason from documents),
+j as (select s.doc_id as id, p.doc_id as page, p.printed, p.reason, s.doc_id + 12 as last from p s left join p on p.b = s.b and p.doc_id between s.doc_id and s.doc_id + 12 where s.doc_id % 7 = 0),
+g as (select id, max(printed) filter (page = id) as a, max(printed) filter (page = last) as z, string_agg(distinct reason, ';' order by reason) as reason from j group by id)
+select id, case when reason is null then a end as first, case when reason is null then z end as last, reason from g"""
+)
+def printed_ranges(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(book_of().alias("book_id"), "doc_id")
+    page = F.col("doc_id")
+    pages = docs.select("book_id", page.alias("pdf_page"), F.when(page % 11 != 0, (page % 50).cast("string")).alias("printed"), F.when(page % 22 == 0, "hidden").when(page % 11 == 0, "no-header-number").alias("reason"))
+    own = docs.where("doc_id % 7 = 0").select(page.alias("id"), "book_id", page.alias("pdf_start"), (page + 12).alias("pdf_end"))
+    return passages.printed_ranges(own, pages)
+
+
+@query()
+def reading_order(spark, sf_dir):
+    """Line items as blocks of their order's page, some over its full width, with their place in reading order."""
+    x0 = (F.col("l_partkey") % 90).cast("double")
+    wide = F.when(F.col("l_partkey") % 5 == 0, 80.0).when(F.col("l_partkey") % 3 == 0, 9.0).otherwise(30.0)
+    blocks = table(spark, sf_dir, "lineitem").select(F.lit("b").alias("book_id"), F.col("l_orderkey").alias("pdf_page"), F.lit(100.0).alias("width"), x0.alias("x0"), (F.col("l_suppkey") % 30).cast("double").alias("y0"), (x0 + wide).alias("x1"), "l_linenumber")
+    return layout.reading_order(blocks).select("pdf_page", "l_linenumber", "ord")
