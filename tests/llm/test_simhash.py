@@ -159,3 +159,21 @@ def test_bound_of_likeness_is_never_less(spark):
 def test_empty_table(spark, empty):
     assert S.simhash_groups(empty).count() == 0
     assert S.keep_one(empty).count() == 0
+
+
+def test_recall_against_all_pairs_and_clashing_columns(spark):
+    """Groups of copies edited to all degrees: at least 0.9 of the pairs of 0.8 end in one group, and no other texts do."""
+    rnd = random.Random(10)
+    texts = []
+    for k in range(8):
+        words = [f"g{k}w{rnd.randrange(4000)}" for _ in range(rnd.choice([40, 150, 500]))]
+        texts += [" ".join(words)] + [near(words, rnd.randint(0, len(words) // 12), rnd) for _ in range(20)]
+    want = exact_groups(texts)
+    docs = spark.createDataFrame([(i, t, 1, "x", 2) for i, t in enumerate(texts)], "doc_id bigint, text string, _id int, words string, key int")
+    got = {r["id"]: r["component"] for r in S.similar_groups(docs).collect()}
+    together = [(i, j) for i in want for j in range(i) if want[i] == want[j]]
+    found = sum(got[i] == got[j] for i, j in together)
+    assert len(together) > 100 and found >= 0.9 * len(together)
+    assert all(want[i] == want[j] for i in got for j in range(i) if got[i] == got[j])
+    kept = S.keep_one(docs)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == set(got.values())
